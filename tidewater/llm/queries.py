@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import mixing, secrets, sharding
+from tidewater.llm import bpe, jaccard, minhash, mixing, secrets, sharding, wavelet
+
+
+def vocabulary(name: str) -> str:
+    """The place of an installed public vocabulary; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +29,22 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
