@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, jaccard, minhash, mixing, secrets, sharding, wavelet
+from tidewater.llm import bpe, jaccard, minhash, mixing, secrets, sharding, toxicity, wavelet
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, [3, 1, 2], 1.5).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
