@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import ann, bpe, jaccard, minhash, mixing, secrets, sharding, toxicity, wavelet
+from tidewater.llm import ann, bpe, jaccard, minhash, mixing, secrets, sharding, suffix_dedup, toxicity, wavelet
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,10 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
