@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read back: lineage ends here."""
-    path = shared_dir(df.sparkSession)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -79,3 +80,11 @@ def running(values: str) -> str:
 
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def plainly(docs: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``f`` of ``docs`` with columns that ``f`` doesn't know under names that can't clash; they get theirs back after."""
+    known = {"doc_id", "text", "lang", "source", "n_chars"}
+    names = {c: c if c in known else f"extra_{i}" for i, c in enumerate(docs.columns)}
+    out = f(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewater.llm.common import WORD, written
+from tidewater.llm.common import WORD, plainly, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Slots that a schedule has about; the block length follows from it and from MIN_BLOCK.
@@ -116,11 +116,14 @@ def takes(spark, goal: list[float], n_slots: int, facts: DataFrame) -> DataFrame
 
 def mixed_documents(docs: DataFrame, pattern: list[float], share: float, seed: int = 11) -> DataFrame:
     """The mixed corpus with ``docs``' columns: whole copies, and for a document cut by the mix its first words."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = written(numbered)
+    return plainly(docs, lambda d: _mixed(d, pattern, share, seed))
+
+
+def _mixed(docs: DataFrame, pattern: list[float], share: float, seed: int) -> DataFrame:
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     plan = mix(numbered, pattern, share, seed, keep=["_row"]).filter("taken > 0").select("_row", "copies", "extra")
     both = numbered.join(plan, "_row")
     each = both.withColumn("_part", F.explode(F.expr("concat(array_repeat(-1L, copies), if(extra > 0, array(extra), array()))")))
     cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")))
     out = each.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(cut))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import running
+from tidewater.llm.common import plainly, running
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run shorter than the quantifier's least can't hold a longer run, so the length test may stand in the pattern.
@@ -106,6 +106,10 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span's text replaced by ``mark``; spans that overlap become one mark. Clean texts stay as they are."""
+    return plainly(docs, lambda d: _redact(d, mark))
+
+
+def _redact(docs: DataFrame, mark: str) -> DataFrame:
     text = "text"
     got = spans(docs)
     reach = (
@@ -117,4 +121,4 @@ def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     part = part.replace("prior", "if(i > 0, _reach[greatest(i - 1, 0)], 0)")
     clean = f"concat(array_join(transform(_all, (s, i) -> {part}), ''), substring({text}, element_at(_reach, -1) + 1))"
     got = got.withColumn(text, F.when(F.size("_all") > 0, F.expr(clean)).otherwise(F.col(text)))
-    return got.withColumn("n_chars", F.length(text).cast("long")).select(*docs.columns)
+    return got.withColumn("n_chars", F.length(text).cast("long"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import plainly, written
 
 #: Lengths of n-grams, in characters, and the bits of a feature number.
 LENGTHS, BITS = (3, 4, 5, 6), 20
@@ -211,4 +211,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those whose text scores ``THRESHOLD`` or more."""
     weights, bias = fit(training(docs, labels))
-    return score(docs, weights, bias, docs.columns).filter("predicted = 0").select(*docs.columns)
+    return plainly(docs, lambda d: score(d, weights, bias, d.columns).filter("predicted = 0"))
