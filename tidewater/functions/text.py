@@ -6,13 +6,14 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _bare(s: str | None) -> str | None:
     return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """Text without combining marks, after compatibility decomposition: Spark has no normalization function."""
     return s.map(_bare, na_action="ignore")

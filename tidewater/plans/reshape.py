@@ -110,7 +110,7 @@ def pivot_manual(t):
 
 @query("select o_custkey, " + ", ".join(f"count(*) filter (where o_orderstatus = '{s}') as \"{s}\"" for s in [*STATUS, "X"]) + " from orders group by 1")
 def unstack_fill(t):
-    return reshape.pivot(t.orders, ["o_custkey"], "o_orderstatus", [*STATUS, "X"], F.count("*"), fill=0)
+    return reshape.pivot(t.orders, ["o_custkey"], "o_orderstatus", [*STATUS, "X"], F.count(F.lit(1)), fill=0)
 
 
 WIDE = "select p_partkey, cast(p_size as double) as size, case when p_partkey % 3 = 0 then null else p_retailprice end as price from part"

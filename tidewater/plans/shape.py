@@ -28,9 +28,9 @@ def select_exclude(t):
     return t.spark.sql("select * except (c_name, c_acctbal) from {c}", c=t.customer)
 
 
-@query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) as net, cast(l_quantity as bigint) as quantity from lineitem")
+@query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net, cast(l_quantity as bigint) as quantity from lineitem")
 def add_column(t):
-    return t.lineitem.withColumns({"net": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2), "quantity": F.col("l_quantity").cast("long")}).select("l_orderkey", "l_linenumber", "net", "quantity")
+    return t.lineitem.withColumns({"net": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4), "quantity": F.col("l_quantity").cast("long")}).select("l_orderkey", "l_linenumber", "net", "quantity")
 
 
 @query("select p_partkey, upper(p_brand) as p_brand from part")

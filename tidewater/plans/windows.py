@@ -57,13 +57,13 @@ def win_first_value_share(t):
     return out.filter("n <= 2").drop("n")
 
 
-@query("""select l_orderkey, l_linenumber, sum(q) over (partition by l_orderkey order by d, l_linenumber rows unbounded preceding)::bigint as by_rows,
+@query("""select l_orderkey, l_linenumber, q, sum(q) over (partition by l_orderkey order by d, l_linenumber, q rows unbounded preceding)::bigint as by_rows,
 sum(q) over (partition by l_orderkey order by d range unbounded preceding)::bigint as by_range from (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as q, month(l_shipdate) as d from lineitem)""")
 def win_rows_vs_range(t):
     base = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), F.month("l_shipdate").alias("d"))
-    rows = Window.partitionBy("l_orderkey").orderBy("d", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    rows = Window.partitionBy("l_orderkey").orderBy("d", "l_linenumber", "q").rowsBetween(Window.unboundedPreceding, 0)
     peers = Window.partitionBy("l_orderkey").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
-    return base.select("l_orderkey", "l_linenumber", F.sum("q").over(rows).alias("by_rows"), F.sum("q").over(peers).alias("by_range"))
+    return base.select("l_orderkey", "l_linenumber", "q", F.sum("q").over(rows).alias("by_rows"), F.sum("q").over(peers).alias("by_range"))
 
 
 @query("""select o_orderkey, last_value(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as here,
@@ -104,12 +104,12 @@ def running_spend_tier(t):
     return out.select("o_orderkey", F.round("cumulative_spend", 2).alias("cumulative_spend"), windows.tier(F.round("cumulative_spend", 2), 100_000, 500_000).alias("customer_tier"))
 
 
-@query("""select acct, greatest(max(b), 0)::decimal(38,2) as max_balance from (select l_suppkey as acct, sum(v) over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber rows unbounded preceding) as b
-from (select *, cast(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice / 4 end as decimal(12,2)) as v from lineitem)) group by 1""")
+@query("""select acct, greatest(max(b), 0)::decimal(38,2) as max_balance from (select l_suppkey as acct, sum(v) over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, v rows unbounded preceding) as b
+from (select *, cast(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end as decimal(12,2)) as v from lineitem)) group by 1""")
 def max_running_balance(t):
-    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") / 4)
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     moves = t.lineitem.select(F.col("l_suppkey").alias("acct"), "l_shipdate", "l_orderkey", "l_linenumber", signed.cast("decimal(12,2)").alias("v"))
-    out = windows.max_running_balance(moves, "acct", "v", ["l_shipdate", "l_orderkey", "l_linenumber"])
+    out = windows.max_running_balance(moves, "acct", "v", ["l_shipdate", "l_orderkey", "l_linenumber", "v"])
     return out.select("acct", F.col("max_balance").cast("decimal(38,2)").alias("max_balance"))
 
 
