@@ -81,6 +81,12 @@ def flatten_profile(df: DataFrame, reference) -> DataFrame:
     )
 
 
+def reverse_bytes(column: str) -> Column:
+    """The bytes from last to first; Spark's own reverse takes text and arrays only."""
+    pairs = F.regexp_extract_all(F.hex(column), F.lit("(..)"), F.lit(1))
+    return F.unhex(F.array_join(F.reverse(pairs), ""))
+
+
 def transform_types(df: DataFrame) -> DataFrame:
     """One transformation for each of eleven types; the schema stays. Columns: texto, inteiro, real, logico, dia, instante, valor, lista, estrutura, mapa, binario."""
     return df.select(
@@ -89,5 +95,5 @@ def transform_types(df: DataFrame) -> DataFrame:
         F.bround(F.col("valor") * F.lit("1.10").cast("decimal(4,2)"), 2).cast(df.schema["valor"].dataType).alias("valor"),
         F.transform("lista", F.upper).alias("lista"),
         F.struct(F.upper("estrutura.nome").alias("nome"), (F.col("estrutura.n") * 2).alias("n")).cast(df.schema["estrutura"].dataType).alias("estrutura"),
-        F.transform_values("mapa", lambda k, v: F.upper(v)).alias("mapa"), F.reverse("binario").alias("binario"),
+        F.transform_values("mapa", lambda k, v: F.upper(v)).alias("mapa"), reverse_bytes("binario").alias("binario"),
     )
