@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewater.llm import shingles
-from tidewater.llm.common import written
+from tidewater.llm.common import plainly, written
 from tidewater.llm.graph import components
 
 #: Bytes of text that a Python worker hashes at once.
 CHUNK = 3_000_000
 #: Rows up to which a side is broadcast.
 SMALL = 500_000
+#: Sets of a family that are held against each other at once, about.
+BLOCK = 400
+#: Documents of which one is looked at for frequent shingles; how many of those must hold one; the most that are kept.
+SAMPLE, COMMON, MOST_COMMON = 32, 4, 100_000
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -47,17 +51,18 @@ class Bands:
         return member[order], band[order]
 
 
-def sketch_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch_keys(h: np.ndarray, n: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of each set's parity sketch, and the index of each key's set.
 
     In a range where linked sets differ in at most D elements, a sketch has D + 1 blocks; an element belongs to
     one block by its hash, and a block is the XOR of its elements' hashes. Each differing element changes one
     block, so at least one block of linked sets is equal: its value is a key.
 
-    An empty block would equal every other empty one. If linked sets agree in m blocks, all empty, the other
-    D + 1 - m blocks hold at most D differences, so at most m - 1 of them hold two or more; of the m blocks that
-    follow the empty ones at least one then holds one difference or none. Hence an empty block's keys are the next
-    block's value and that value without each one of its elements: no link is lost.
+    A block without elements, or with ``common`` ones only (sorted hashes of frequent shingles), is weak: unlike sets
+    that hold one line in common would meet there. If linked sets agree in m blocks, all weak, the other D + 1 - m
+    blocks hold at most D differences, so at most m - 1 of them hold two or more; of the m blocks that follow the weak
+    ones at least one then holds one difference or none. Hence a weak block's keys are its value with the next
+    block's, and with the next block's less each one of its elements: no link is lost, whatever counts as common.
     """
     bands = Bands(percent, int(n.max(initial=1)))
     member, band = bands.of(n)
@@ -69,33 +74,54 @@ def sketch_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
     size = n[member]
     row = np.repeat(np.arange(len(member)), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[member] - size, size)
-    element = h[place]
+    rare = np.ones(len(h), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
     with np.errstate(over="ignore"):
-        inner = ((element >> np.uint64(32)) * blocks[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        mixed = shingles.mix(h)
+        inner = ((h[place] >> np.uint64(32)) * blocks[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         at = base[row] + inner
         total = int(base[-1] + blocks[-1])
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         value = np.zeros(total, np.uint64)
-        value[at[first]] = np.bitwise_xor.reduceat(shingles.mix(element), first)
-        filled = np.zeros(total, bool)
-        filled[at[first]] = True
+        value[at[first]] = np.bitwise_xor.reduceat(mixed[place], first)
+        strong = np.zeros(total, bool)
+        strong[at[first]] = np.logical_or.reduceat(rare[place], first)
         row_of = np.repeat(np.arange(len(member)), blocks)
         index = np.arange(total) - base[row_of]
         label = shingles.mix(band[row_of].astype(np.uint64) << np.uint64(40) | index.astype(np.uint64))
-        full = np.flatnonzero(filled)
+        full, weak = np.flatnonzero(strong), np.flatnonzero(~strong)
         keys, owner = [shingles.mix(value[full] ^ label[full])], [member[row_of[full]]]
-        void = np.flatnonzero(~filled)
-        if len(void):
-            follow = base[row_of[void]] + (index[void] + 1) % blocks[row_of[void]]
-            keys.append(shingles.mix(value[follow] ^ label[void] ^ EMPTY))
-            owner.append(member[row_of[void]])
+        if len(weak):
+            own = shingles.mix(value ^ label ^ EMPTY)
+            follow = base[row_of[weak]] + (index[weak] + 1) % blocks[row_of[weak]]
+            keys.append(shingles.mix(own[weak] ^ value[follow]))
+            owner.append(member[row_of[weak]])
             prior = base[row] + (inner - 1) % blocks[row]
-            less = np.flatnonzero(~filled[prior])
-            keys.append(shingles.mix(value[at[less]] ^ shingles.mix(element[less]) ^ label[prior[less]] ^ EMPTY))
+            less = np.flatnonzero(~strong[prior])
+            keys.append(shingles.mix(own[prior[less]] ^ value[at[less]] ^ mixed[place[less]]))
             owner.append(member[row[less]])
     return np.concatenate(keys), np.concatenate(owner)
 
 
+def frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that many documents hold, estimated on one document in ``SAMPLE``; at most ``MOST_COMMON``.
+
+    They decide how keys are made, not what links: any set of them gives the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for start, stop in chunks(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(shingles.sets(texts[start:stop], k)[0]))], names=["h"])
+
+    sample = docs.select("text").filter(f"text is not null and pmod(xxhash64(doc_id, text), {SAMPLE}) = 0")
+    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, t in enumerate(texts):
@@ -130,6 +156,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     set of the same chunk has already; ``hubs`` names those earlier sets. A key that a large group shares thus
     enters the shuffle once a chunk. Equal sets of a chunk give their keys once.
     """
+    common = frequent(docs, k)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     longs = pa.list_(pa.int64())
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", longs), ("again", longs), ("hubs", longs)])
@@ -144,7 +171,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for start, stop in chunks(texts):
                 h, n = shingles.sets(texts[start:stop], k)
                 nodes = signatures(h, n)
-                keys, owner = sketch_keys(h, n, percent)
+                keys, owner = sketch_keys(h, n, percent, common)
                 _, lead = np.unique(nodes, return_index=True)
                 keep = np.isin(owner, lead)
                 keys, owner = keys[keep], owner[keep]
@@ -167,30 +194,119 @@ def side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingle sets reach the similarity. ``texts``: (node, text)."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray) -> np.ndarray:
+    """For each set the least index that links join it to, where sets of equal label count as joined already.
+
+    All sets are held against each other at once: a matrix of sets by shared elements, times its transpose.
+    """
+    m = len(sets)
+    n = np.array([len(x) for x in sets], dtype=np.float64)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    many = np.bincount(column) > 1
+    row = np.repeat(np.arange(m), n.astype(np.int64))[many[column]]
+    column = (np.cumsum(many) - 1)[column][many[column]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((m, m), dtype=np.float32)
+    for start in range(0, int(many.sum()), 8192):
+        a, b = np.searchsorted(column, [start, start + 8192])
+        part = np.zeros((m, 8192), dtype=np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        common += part @ part.T
+    joined = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    joined |= labels[:, None] == labels[None, :]
+    least = np.arange(m)
+    while True:
+        lower = np.where(joined, least[None, :], m).min(axis=1)
+        lower = np.minimum(lower, least)
+        lower = lower[lower]
+        if np.array_equal(lower, least):
+            return least
+        least = lower
+
+
+def cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges that join what links join in each cell. ``cells``: (family, cell, node, label, shingles).
+
+    A cell is a bounded number of sets, so a task holds one cell and one batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, labels, sets, seen = None, [], [], [], set()
+
+        def done() -> pa.RecordBatch:
+            least = linked(sets, percent, np.array(labels))
+            some = np.flatnonzero(least != np.arange(len(nodes)))
+            node = np.array(nodes)
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[least[some]])], names=["a", "b"])
+
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = (batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
-            kept = []
-            for at in range(0, len(a), 200):
-                some = dict(zip([*a[at : at + 200], *b[at : at + 200]], [*left[at : at + 200], *right[at : at + 200]]))
-                h, n = shingles.sets(list(some.values()), k)
-                ends = np.cumsum(n)
-                of = {node: h[e - m : e] for node, e, m in zip(some, ends, n)}
-                for i in range(at, min(at + 200, len(a))):
-                    x, y = of[a[i]], of[b[i]]
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            family, cell, node, label = (batch.column(i).to_pylist() for i in range(4))
+            lists = batch.column(4)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(batch.num_rows):
+                if (family[i], cell[i]) != now:
+                    if len(nodes) > 1:
+                        yield done()
+                    now, nodes, labels, sets, seen = (family[i], cell[i]), [], [], [], set()
+                if node[i] in seen:  # a repeated row
+                    continue
+                seen.add(node[i])
+                nodes.append(node[i])
+                labels.append(label[i])
+                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
+        if len(nodes) > 1:
+            yield done()
+
+    dealt = cells.select("family", "cell", "node", "label", "shingles").repartition("family", "cell").sortWithinPartitions("family", "cell")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(1).cast(pa.binary()).to_pylist()
+            for start, stop in chunks(data):
+                h, n = shingles.sets(data[start:stop], k)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h)))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component): what exact links join within each family of candidates.
+
+    A family's sets are dealt into blocks by hash. First each block meets the family's block 0, which settles a
+    family of one or two blocks and finds most links of a larger one. In a larger one, sets that are joined by then
+    share blocks; all pairs of blocks meet but for two blocks of one and the same component.
+    """
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    meets = F.when(F.col("blocks") <= 2, F.array(F.lit(1))).when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.col("block").cast("int")))
+    cells = placed.withColumn("cell", F.explode(meets)).withColumn("label", F.col("node")).join(sets, "node")
+    links = written(cell_links(cells, percent))
+    labels = written(components(links))
+
+    large = placed.filter("blocks > 2").select("family", "node").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    large = written(large.select("family", "node", "c"))
+    if large.isEmpty():
+        return labels
+    per = large.groupBy("family", "c").agg(F.count("*").alias("n"))
+    small = per.filter(F.col("n") < BLOCK).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
+    at = large.join(per, ["family", "c"]).join(small, "family", "left")
+    own = F.concat(F.col("c").cast("string"), F.lit("/"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("string"))
+    mixed = F.concat(F.lit("mixed/"), F.pmod(F.xxhash64("c"), "mixed").cast("string"))
+    at = written(at.select("family", "node", "c", F.when(F.col("n") < BLOCK, mixed).otherwise(own).alias("block"), F.when(F.col("n") >= BLOCK, F.col("c")).alias("of")))
+    blocks = at.select("family", "block", "of").distinct()
+    x, y = blocks.select("family", F.col("block").alias("x"), F.col("of").alias("x_of")), blocks.select("family", F.col("block").alias("y"), F.col("of").alias("y_of"))
+    pairs = x.join(y, "family").filter("x <= y and (x_of is null or y_of is null or x_of != y_of)")
+    pairs = pairs.withColumn("cell", F.concat_ws("|", "x", "y")).select("family", "cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    cells = at.join(pairs, ["family", "block"]).withColumn("label", F.col("c")).join(sets, "node")
+    more = written(cell_links(cells, percent))
+    return labels if more.isEmpty() else written(components(links.union(more)))
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -200,44 +316,23 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     or empty text has no shingles and links with nothing. ``component`` is the smallest doc_id reachable by
     links, itself included. Sets are told apart by 64-bit hashes of shingles and of sets.
 
-    Equal sets are one node. Nodes that share a sketch key are candidates. Each is first verified against the
-    key's least node; where all of a key's nodes then lie in one component, no other pair of them matters. In the
-    other keys, every pair that lies in different components is verified too, so no link is lost.
+    Equal sets are one node. Nodes that share a sketch key are candidates; every linked pair is. Each joins the least
+    node of the key, and what is so connected is a family: all links lie within families, where they are verified
+    on the exact sets.
     """
-    spark = docs.sparkSession
     made = written(sketches(docs, k, percent))
     once = made.select("node", F.explode("keys").alias("key"))
-    group = Window.partitionBy("key")
-    once = once.withColumns({"hub": F.min("node").over(group), "most": F.max("node").over(group)}).filter("hub != most")
-    shared = written(once.select("key", "node", "hub"))
-    again = made.select("node", F.explode(F.arrays_zip("again", "hubs")).alias("z")).select(F.col("z.again").alias("key"), "node", F.col("z.hubs").alias("hub"))
-    stars = shared.union(again).filter("node != hub")
-    pairs = written(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = made.filter("n_shingles > 0").join(side(written(named)), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tie", "doc_id")).alias("f"))
+    hub = F.min("node").over(Window.partitionBy("key"))
+    stars = once.withColumn("hub", hub).filter("hub != node").select("node", "hub")
+    again = made.select("node", F.explode("hubs").alias("hub"))
+    families = written(components(stars.union(again), "node", "hub").withColumnRenamed("component", "family"))
+
+    chosen = made.filter("n_shingles > 0").join(side(families.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tie", "doc_id")).alias("f"))
     chosen = written(chosen.select("node", F.col("f.tie").alias("tie"), F.col("f.doc_id").alias("doc_id")))
     source = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("t"))
-    rep = side(chosen)
-    texts = source.join(rep, (F.col("t") == F.col("tie")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "text").dropDuplicates(["node"])
-    texts = written(texts)
-
-    links = written(verified(pairs, texts, k, percent))
-    labels = written(components(links))
-    # Keys whose star has a spoke between two components, and what else they hold.
-    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
-    cross = lambda df: df.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b"))
-    failed = cross(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")).select("a", "b")
-    spokes = stars.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")})
-    torn = written(spokes.join(side(written(failed)), ["a", "b"], "left_semi").select("key").distinct())
-    whole = shared.select("key", "node").union(again.select("key", "node")).union(again.select("key", F.col("hub")))
-    held = written(whole.join(side(torn), "key", "left_semi").distinct())
-    if not held.isEmpty():
-        x, y = held.select("key", F.col("node").alias("a")).join(of("a"), "a", "left"), held.select("key", F.col("node").alias("b")).join(of("b"), "b", "left")
-        more = cross(x.join(y, "key").filter("a < b")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        extra = written(verified(more, texts, k, percent))
-        if not extra.isEmpty():
-            labels = written(components(links.union(extra)))
+    texts = source.join(side(chosen), (F.col("t") == F.col("tie")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    sets = written(shingle_sets(texts, k))
+    labels = verified(families, sets, percent)
 
     least = made.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     least = least.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
@@ -256,11 +351,17 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words are in no class and all stay. Of equal rows in a class one stays.
     """
-    tagged = written(docs.withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}))
+    return plainly(docs, lambda d: _keep_one(d, k, percent))
+
+
+def _keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    tagged = docs.withColumns({"_tie": F.xxhash64("text"), "_empty": ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
     found = near_classes(docs, k, percent).filter("n_shingles > 0")
     kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("f")).select(F.col("f.doc_id").alias("k_id"), F.col("f.tie").alias("k_tie"))
+    kept = written(kept)
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_tie") == F.col("k_tie"))
-    marked = tagged.select("doc_id", "_tie", "_row").join(kept, same)
-    rows = marked.groupBy("doc_id", "_tie").agg(F.min("_row").alias("_row")).select("_row")
-    wordless = tagged.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("_row")
-    return tagged.join(rows.union(wordless), "_row", "left_semi").select(*docs.columns)
+    # Rows that share the kept one's id and text are repeats of it; one of each group stays, whatever else they hold.
+    chosen = tagged.filter("not _empty").join(side(kept), same, "left_semi")
+    if kept.count() != chosen.count():
+        chosen = chosen.dropDuplicates(["doc_id", "_tie"])
+    return chosen.union(tagged.filter("_empty")).drop("_tie", "_empty")
