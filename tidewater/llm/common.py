@@ -15,6 +15,9 @@ from pyspark.sql import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors both see.
 
@@ -31,9 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df``, written once as Parquet in the shared folder and read back: lineage ends here."""
+    """``df``, written once as Parquet in the shared folder and read back: lineage ends here.
+
+    The shuffle files that made it aren't needed any more and go at once rather than when the driver collects garbage.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
