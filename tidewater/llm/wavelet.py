@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -17,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.bpe import byte_names
 from tidewater.llm.common import partitions, shared_dir
 
 MAGIC = b"TWWM1\n"
@@ -148,11 +150,17 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return matrix, [int(i) if k else None for i, k in zip(ids, known)], lengths
 
 
+#: Letters before a run of ASCII symbols other than the apostrophe, which may begin a suffix.
+ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+
+
 class Encoder:
     """A vocabulary that drops white space, applied to pieces between spaces and newlines, whose ids are kept.
 
-    White space only separates, so pieces can be encoded apart. A piece of lower-case ASCII letters is one
-    pre-split word and goes to the merges directly; letters before one full stop or comma are cut there.
+    White space only separates, so pieces can be encoded apart; letters and a run of symbols after them are two
+    pre-split words. A word of letters below U+0130 is in normal form and lowers letter by letter, so it goes to the
+    merges directly, written in the vocabulary's byte alphabet; all else goes through the whole tokenizer. Ids are
+    kept as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -162,28 +170,37 @@ class Encoder:
         self.tool.no_truncation()
         self.tool.no_padding()
         self.model = self.tool.model
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        if text.isascii():
-            if text.isalpha():
-                low = text.lower()
-                ids = self.kept.get(low)
-                if ids is None:
-                    ids = self.kept[low] = tuple(t.id for t in self.model.tokenize(low))
-                return ids
-            if text[-1:] in (".", ",") and text[:-1].isalpha():
-                return self.piece(text[:-1]) + self.kept.setdefault(text[-1], tuple(self.tool.encode(text[-1], add_special_tokens=False).ids))
-        return tuple(self.tool.encode(text, add_special_tokens=False).ids)
-
-    def encode(self, text: str, out: list[int]) -> None:
+        self.alphabet = str.maketrans({b: c for c, b in byte_names().items()})
+        self.kept: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def word(self, text: str) -> bytes:
+        low = text.lower()
+        ids = self.known.get(low)
+        if ids is None:
+            named = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.known[low] = np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        if text.isalpha() and max(text) < "\u0130":
+            return self.word(text)
+        if (m := ENDED.fullmatch(text)) and m[1].isalpha() and max(m[1]) < "\u0130":
+            tail = self.known.get(m[2])
+            if tail is None:
+                tail = self.known[m[2]] = np.array(self.tool.encode(m[2], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self.word(m[1]) + tail
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
         if len(self.kept) > KEPT:
             self.kept.clear()
+        if len(self.known) > KEPT:
+            self.known.clear()
         kept, parts = self.kept, text.replace("\n", " ").split(" ")
         for w in set(parts).difference(kept):
             kept[w] = self.piece(w)
-        for ids in map(kept.__getitem__, parts):
-            out += ids
+        return b"".join(map(kept.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
@@ -218,7 +235,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        lengths, ids, blocks, held = [], [], [], 0
+        lengths, blocks, held = [], [], 0
 
         def flush():
             nonlocal seq, names, lengths, blocks, held
@@ -230,10 +247,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = []
-                tool.encode(text.as_py(), ids)
-                ids.append(end_id)
-                blocks.append(np.array(ids, dtype=np.uint32))
+                ids = np.append(np.frombuffer(tool.encode(text.as_py()), "<u4"), np.uint32(end_id))
+                blocks.append(ids)
                 names.append(doc_id)
                 lengths.append(len(ids))
                 held += len(ids)
