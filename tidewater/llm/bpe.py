@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 #: How byte-level vocabularies split text before their merges.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a Python worker keeps at once; when full, it starts over.
-KEPT = 400_000
+KEPT = 700_000
+#: Texts whose new pieces are encoded together.
+TOGETHER = 256
 
 
 def byte_names() -> dict[str, int]:
@@ -57,11 +60,12 @@ class Automaton:
         self.ids = {t: i for t, i in vocab.items() if i in made}
         self.longest = max(map(len, self.ids), default=1)
         self.table: dict[int, bool] = {}
+        self.last, self.came, self.by = b"", [0], [-1]
         split = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
         self.split_special = re.compile(f"({split})") if special else None
         self.pre = regex.compile(PRE_SPLIT)
         self.inner: dict[str, tuple[int, ...]] = {}
-        self.after_space: dict[str, tuple[int, ...]] = {}
+        self.after_space: dict[str, bytes] = {}
 
     def follows(self, x: int, y: int) -> bool:
         """Whether the state after token ``x`` has an arc for token ``y``."""
@@ -81,14 +85,23 @@ class Automaton:
     def word(self, data: bytes) -> tuple[int, ...]:
         """The ids of one pre-split word: the only path whose labels spell it.
 
-        Every prefix has one path, so a place needs one state; the longest last token is tried first.
+        Every prefix has one path, so a place needs one state; the longest last token is tried first. What the
+        word has in common with the one before isn't walked again.
         """
-        ids, table = self.ids, self.table
+        ids, table, longest = self.ids, self.table, self.longest
         if (whole := ids.get(data)) is not None:
             return (whole,)
-        n, longest = len(data), self.longest
-        came, by = [0] * (n + 1), [-1] * (n + 1)
-        for stop in range(1, n + 1):
+        came, by, same = self.came, self.by, 0
+        for a, b in zip(data, self.last):
+            if a != b:
+                break
+            same += 1
+        n = len(data)
+        if n >= len(by):
+            came += [0] * (n + 1 - len(by))
+            by += [-1] * (n + 1 - len(by))
+        self.last = data
+        for stop in range(same + 1, n + 1):
             for start in range(max(0, stop - longest), stop):
                 token = ids.get(data[start:stop])
                 if token is None:
@@ -124,32 +137,54 @@ class Automaton:
             out += ids
         return tuple(out)
 
-    def plain(self, text: str) -> list[int]:
-        """As ``piece``, by pieces between single spaces, whose ids are kept.
-
-        A space between two characters that aren't white space always begins a word, so such a text can be
-        cut there; a text with other runs of white space around spaces is encoded in one piece.
+    def learn(self, texts: set[str]) -> None:
+        """Keeps the ids of a space and each of ``texts``; letters, alone or before symbols, need no pattern to be split."""
+        kept = self.after_space
+        pack = lambda ids: np.array(ids, dtype="<u4").tobytes()
+        ended = {w: m for w in texts if not w.isalpha() and (m := ENDED.fullmatch(w)) and m[1].isalpha()}
+        for w in sorted({w for w in texts if w.isalpha()}.union(m[1] for m in ended.values()).difference(kept)):
+            kept[w] = pack(self.word(b" " + w.encode()))
+        for w, m in ended.items():
+            kept[w] = kept[m[1]] + pack(self.piece(m[2]))
+        for w in texts.difference(kept):
+            kept[w] = pack(self.piece(" " + w))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text.
+
+        A space between two characters that aren't white space always begins a word, so a text can be cut there and
+        the pieces' ids are kept, as unsigned 32-bit integers; a text with other runs of white space around spaces is
+        encoded in one piece, and so are the parts of a text that holds special tokens.
         """
-        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or odd_space(text):
-            return list(self.piece(text))
-        first, *rest = text.split(" ")
+        cut = [None if self.whole(t) else t.split(" ") for t in texts]
+        for c in cut:
+            if c:
+                c[0] = self.piece(c[0])
+        if len(self.after_space) > KEPT:
+            self.after_space.clear()
+        self.learn(set().union(*(c[1:] for c in cut if c)).difference(self.after_space))
         kept = self.after_space
-        for w in set(rest).difference(kept):
-            kept[w] = self.piece(" " + w)
-        ids = list(chain(self.piece(first), chain.from_iterable(map(kept.__getitem__, rest))))
-        if len(kept) > KEPT:
-            kept.clear()
-        return ids
+        for text, parts in zip(texts, cut):
+            if parts:
+                yield [*parts[0], *np.frombuffer(b"".join(map(kept.__getitem__, parts[1:])), "<u4").tolist()]
+            elif self.special:
+                yield [i for part in self.split_special.split(text) for i in ((self.special[part],) if part in self.special else self.piece(part))]
+            else:
+                yield list(self.piece(text))
+
+    def whole(self, text: str) -> bool:
+        """Whether a text can't be cut at its spaces."""
+        return "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or bool(odd_space(text)) or any(s in text for s in self.special)
 
     def encode(self, text: str) -> list[int]:
-        if not self.special or not any(s in text for s in self.special):
-            return self.plain(text)
-        return [i for part in self.split_special.split(text) for i in ([self.special[part]] if part in self.special else self.plain(part))]
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+#: Letters before a run of symbols other than the apostrophe, which may begin a suffix.
+ENDED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 #: Finds white space other than space and newline.
 odd_space = re.compile(r"[^\S \n]").search
 
@@ -171,7 +206,8 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
     """Each document's id count, digest of its ids, and digest of the text decoded from them.
 
     Texts are encoded whole; a null text counts as empty (no ids, digests of the empty string). Special tokens'
-    strings in a text become their ids. ``keep`` names columns to carry (default doc_id); ``with_ids`` adds the ids.
+    strings in a text become their ids. ``keep`` names columns to carry (default doc_id); ``with_ids`` adds the ids as
+    little-endian unsigned 32-bit integers.
     """
     keep = keep or ["doc_id"]
     source = docs.select(*keep, F.col("text").alias("_text"))
@@ -183,17 +219,17 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
         digits = [str(i) for i in range(len(machine.labels))]
         for batch in batches:
             made = []
-            for text in batch["_text"]:
-                ids = machine.encode(text or "")
+            texts = [t or "" for t in batch["_text"]]
+            for ids in chain.from_iterable(machine.encode_all(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)):
                 made.append((
                     len(ids),
                     hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest(),
                     hashlib.sha256(machine.decode(ids).encode()).hexdigest(),
-                    ids if with_ids else None,
+                    np.array(ids, dtype="<u4").tobytes() if with_ids else None,
                 ))
             frame = batch[names].copy()
             for at, name in enumerate(["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids):
                 frame[name] = [m[at] for m in made]
             yield frame
 
-    return source.mapInPandas(run, out + ", ids array<int>" * with_ids)
+    return source.mapInPandas(run, out + ", ids binary" * with_ids)
