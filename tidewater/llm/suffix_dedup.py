@@ -127,41 +127,53 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut
 
 
+class Pieces:
+    """The stretches of ``joined`` in which every window's hash occurs more than once, and which of them are equal.
+
+    ``begin`` and ``sizes`` are the texts that ``joined`` holds one after another; windows of texts with different
+    ``salt`` are never the same.
+    """
+
+    def __init__(self, joined: np.ndarray, begin: np.ndarray, sizes: np.ndarray, salt: np.ndarray, window: int):
+        per = sizes - window + 1
+        of = np.repeat(np.arange(len(sizes)), per)
+        start = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+        hashes = anchors.Windows(joined)
+        _, back, count = np.unique(hashes.at(start, start + window) ^ salt[of], return_inverse=True, return_counts=True)
+        many = np.flatnonzero(count[back] > 1)
+        first = np.concatenate([[True], (many[1:] != many[:-1] + 1) | (of[many[1:]] != of[many[:-1]])])[: len(many)]
+        self.of, self.where = of[many[first]], start[many[first]]
+        self.spread = np.diff(np.concatenate([np.flatnonzero(first), [len(many)]])) if len(many) else np.zeros(0, np.int64)
+        self.width = self.spread + window - 1
+        _, self.lead, self.piece = np.unique(hashes.at(self.where, self.where + self.width), return_index=True, return_inverse=True)
+        self.sizes = self.width[self.lead]
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.text = b"".join(joined[self.where[i] : self.where[i] + self.width[i]].tobytes() for i in self.lead)
+        self.run = np.repeat(np.arange(len(self.spread)), self.spread)
+        self.step = np.arange(len(self.run)) - np.repeat(np.cumsum(self.spread) - self.spread, self.spread)
+
+
 def repeated(data: list[bytes], deal: np.ndarray, oid: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(oid, start) of the windows in the contexts that also begin earlier, by external induced sorting.
 
-    Windows whose hash is alone among the contexts can't repeat; runs of the others are pieces, of which equal ones are
-    sorted once. In the order of the pieces' suffixes, neighbours with ``window`` letters in common are the same window.
+    Windows whose hash is alone among the contexts can't repeat; the others form pieces, of which equal ones are taken
+    once. Among those, again, only windows whose hash isn't alone can be shared by different pieces; they are sorted. In
+    the order of their suffixes, neighbours with ``window`` letters in common are the same window.
     """
     sizes = np.array([len(d) for d in data])
-    joined = np.frombuffer(b"".join(data), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    per = sizes - window + 1
-    of = np.repeat(np.arange(len(data)), per)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-    hashes = anchors.Windows(joined)
-    keys = hashes.at(begin[of] + inner, begin[of] + inner + window) ^ deal[of].view(np.uint64)
-    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    many = np.flatnonzero(count[back] > 1)
-    if not len(many):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.concatenate([[True], (many[1:] != many[:-1] + 1) | (of[many[1:]] != of[many[:-1]])])
-    head = many[first]
-    width = np.diff(np.concatenate([np.flatnonzero(first), [len(many)]])) + window - 1
-    where = begin[of[head]] + inner[head]
-    names = hashes.at(where, where + width)
-    _, lead, piece = np.unique(names, return_index=True, return_inverse=True)
-    text = b"".join(joined[where[i] : where[i] + width[i]].tobytes() for i in lead)
-    ends = np.cumsum(width[lead])
-    base = ends - width[lead]
-    same = np.arange(len(text))
-    for group in induced.repeats(text, np.repeat(ends, width[lead]).tolist(), window):
-        same[group] = min(group)
-    spread = width - window + 1
-    run = np.repeat(np.arange(len(head)), spread)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(spread) - spread, spread)
-    source, start = oid[of[head]][run], (at[of[head]] + inner[head])[run] + step
-    gone = later(same[base[piece[run]] + step], source, start)
+    all_ = Pieces(np.frombuffer(b"".join(data), np.uint8), begin, sizes, deal.view(np.uint64), window)
+    same = np.arange(len(all_.text))
+    shared = Pieces(np.frombuffer(all_.text, np.uint8), all_.begin, all_.sizes, np.zeros(len(all_.sizes), np.uint64), window)
+    if shared.text:
+        group_of = np.arange(len(shared.text))
+        ends = shared.begin + shared.sizes
+        for group in induced.repeats(shared.text, np.repeat(ends, shared.sizes).tolist(), window):
+            group_of[group] = min(group)
+        same[shared.where[shared.run] + shared.step] = len(same) + group_of[shared.begin[shared.piece[shared.run]] + shared.step]
+    source = oid[all_.of][all_.run]
+    start = (at[all_.of] + all_.where - begin[all_.of])[all_.run] + all_.step
+    gone = later(same[all_.begin[all_.piece[all_.run]] + all_.step], source, start)
     return source[gone], start[gone]
 
 
