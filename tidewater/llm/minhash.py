@@ -47,8 +47,10 @@ def fingerprints(df: DataFrame, text: str, into: str) -> DataFrame:
     walk = "aggregate(sequence({0}, {1}), cast(null as bigint), (a, t) -> coalesce(a, _m[(_start[b] + t * _stride[b]) & {2}]))"
     fill = f"transform(_m, (x, b) -> coalesce(x, {walk.format(0, FIRST_PROBES - 1, BINS - 1)}, {walk.format(FIRST_PROBES, BINS - 1, BINS - 1)}))"
     df = df.withColumn("_m", F.when(F.size("_w") > 0, F.expr(fill)))
-    pack = "aggregate(sequence(0, 15), 0L, (a, k) -> shiftleft(a, 4) | (_m[16 * w + k] & 15))"
-    df = df.withColumn(into, F.when(F.size("_w") > 0, F.expr(f"transform(sequence(0, {BINS // 16 - 1}), w -> {pack})")).otherwise(F.array().cast("array<bigint>")))
+    # The filled bins are bound to a variable: written in place, they would be filled anew for every bin that is packed.
+    pack = "aggregate(sequence(0, 15), 0L, (a, k) -> shiftleft(a, 4) | (m[16 * w + k] & 15))"
+    packed = f"transform(array(_m), m -> transform(sequence(0, {BINS // 16 - 1}), w -> {pack}))[0]"
+    df = df.withColumn(into, F.when(F.size("_w") > 0, F.expr(packed)).otherwise(F.array().cast("array<bigint>")))
     return df.drop("_w", "_h", "_m", "_start", "_stride")
 
 
