@@ -20,7 +20,7 @@ CHUNK = 3_000_000
 #: Rows up to which a side is broadcast.
 SMALL = 500_000
 #: Sets of a family that are held against each other at once, about.
-BLOCK = 400
+BLOCK = 1_500
 #: Documents of which one is looked at for frequent shingles; how many of those must hold one; the most that are kept.
 SAMPLE, COMMON, MOST_COMMON = 32, 4, 100_000
 EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -208,16 +208,16 @@ def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray) -> np.ndarr
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((m, m), dtype=np.float32)
-    for start in range(0, int(many.sum()), 8192):
-        a, b = np.searchsorted(column, [start, start + 8192])
-        part = np.zeros((m, 8192), dtype=np.float32)
+    for start in range(0, int(many.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((m, 4096), dtype=np.float32)
         part[row[a:b], column[a:b] - start] = 1
         common += part @ part.T
     joined = 100 * common >= percent * (n[:, None] + n[None, :] - common)
     joined |= labels[:, None] == labels[None, :]
-    least = np.arange(m)
+    least = np.arange(m, dtype=np.int32)
     while True:
-        lower = np.where(joined, least[None, :], m).min(axis=1)
+        lower = np.where(joined, least[None, :], np.int32(m)).min(axis=1)
         lower = np.minimum(lower, least)
         lower = lower[lower]
         if np.array_equal(lower, least):
