@@ -18,6 +18,11 @@ def accent_strip(t):
     return t.documents.filter(F.col("lang").isin("fr", "es")).select("doc_id", strip_accents(F.substring("text", 1, 40)).alias("bare"))
 
 
+@query("select doc_id, strip_accents(text) as bare from documents")
+def accent_strip_whole(t):
+    return t.documents.select("doc_id", strip_accents("text").alias("bare"))
+
+
 @query("select o_orderkey, cast(date_trunc('year', o_orderdate) as date) as year, cast(day(o_orderdate) as bigint) as d, cast(month(o_orderdate) as bigint) as m, cast(o_orderdate + interval 30 day as date) as later, date_diff('day', date '1995-01-01', cast(o_orderdate as date)) as since from orders")
 def date_functions(t):
     o = F.col("o_orderdate")
