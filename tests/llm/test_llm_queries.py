@@ -102,6 +102,22 @@ def test_toxicity_held_out(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_toxicity_keeps_rare_evidence(spark):
+    """Toxic documents marked by one rarer word only, beside common toxic words with thousands of n-grams."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(chr(c) for c in rng.integers(97, 123, 9))
+    plain, common = [word() for _ in range(150)], [word() for _ in range(300)]
+    some = lambda words, n: list(rng.choice(words, n))
+    rows = [(" ".join(some(plain, 30)), 0) for _ in range(900)]
+    rows += [(" ".join(some(plain, 20) + some(common, 200)), 1) for _ in range(300)]
+    rows += [(" ".join([*some(plain, 29), "qxzvkjwpq"]), 1) for _ in range(60)]
+    weights, bias = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    new = [(i, " ".join([*some(plain, 29), "qxzvkjwpq"] if i < 20 else some(plain, 30))) for i in range(40)]
+    got = toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), weights, bias, ["doc_id"]).collect()
+    assert np.count_nonzero(weights) > 4_000
+    assert {r.doc_id for r in got if r.predicted} == set(range(20))
+
+
 def test_toxicity_edges(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}

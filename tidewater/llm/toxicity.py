@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +16,13 @@ from tidewater.llm.common import plainly, written
 LENGTHS, BITS = (3, 4, 5, 6), 20
 #: The most labelled documents that a model is fitted on: those with the least hash of doc_id.
 MAX_TRAIN = 20_000
-#: A feature counts if so many documents have it; the most features kept, and the least ratio of a log ratio to its error.
-LEAST_DOCS, MAX_FEATURES, SURE = 5, 4_000, 4.0
+#: A feature counts if so many documents have it, and the least ratio of a log ratio to its error; all such are kept.
+LEAST_DOCS, SURE = 5, 4.0
 THRESHOLD = 0.3
 #: Characters that a Python worker hashes at once.
 CHUNK = 1_500_000
+#: Entries of the sample's matrix that the driver works on at once.
+ENTRIES = 1 << 20
 
 
 def features(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +81,9 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     """Weights of all feature numbers, and the bias.
 
     A feature is an n-gram's presence in a document. Its value is the log of its smoothed share of documents among
-    toxic ones over that among others; logistic regression on these values (for the surest features) gives the
-    weights. Feature counts are summed by Spark; what reaches the driver is bounded by the sample and the constants.
+    toxic ones over that among others; logistic regression on these values (for all sure features) gives the
+    weights. Feature counts are summed by Spark; what reaches the driver, four bytes for each feature of each document
+    of the sample, is bounded by the sample and the constants.
     Without documents of both labels the model is the prior alone.
     """
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -107,11 +111,10 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     ratio = F.log(((F.col("p") + 1) / (n1 + 2)) / ((F.col("q") + 1) / (n0 + 2)))
     sure = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
     best = counted.filter(F.col("p") + F.col("q") >= LEAST_DOCS).select("f", ratio.alias("r"), sure.alias("s")).filter(F.col("s") > SURE)
-    rows = best.orderBy(F.desc("s"), "f").limit(MAX_FEATURES).collect()
-    if not rows:
+    rows = best.select("f", "r").toArrow().sort_by("f")
+    if not rows.num_rows:
         return weights, float(np.log(n1 / n0))
-    kept = np.array([r["f"] for r in rows])
-    ratios = np.array([r["r"] for r in rows])
+    kept, ratios = rows["f"].to_numpy(), rows["r"].to_numpy()
     mask = np.zeros(1 << BITS, bool)
     mask[kept] = True
 
@@ -124,28 +127,44 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
                 found = pa.array([x.tobytes() for x in np.split(f.astype("<i4"), cuts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), found], names=["toxic", "f"])
 
-    sample = train.mapInArrow(encode, "toxic int, f binary").groupBy("toxic", "f").count().collect()
-    sample.sort(key=lambda r: (r["toxic"], r["f"]))
-    place = np.zeros(1 << BITS, np.int64)
-    place[kept] = np.arange(len(kept))
-    doc = np.repeat(np.arange(len(sample)), [len(r["f"]) // 4 for r in sample])
-    col = place[np.frombuffer(b"".join(r["f"] for r in sample), "<i4")]
-    y = np.array([r["toxic"] == 1 for r in sample], dtype=float)
-    times = np.array([r["count"] for r in sample], dtype=float)
-    w, b = logistic(doc, col, ratios[col], y, times, len(kept))
+    sample = train.mapInArrow(encode, "toxic int, f binary").groupBy("toxic", "f").count().toArrow()
+    sample = sample.sort_by([("toxic", "ascending"), ("f", "ascending")])
+    cuts = np.concatenate([[0], np.cumsum(pc.binary_length(sample["f"]).to_numpy().astype(np.int64) // 4)])
+    place = np.zeros(1 << BITS, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    col = np.empty(cuts[-1], np.int32)
+    for i, f in enumerate(sample["f"]):
+        col[cuts[i] : cuts[i + 1]] = place[np.frombuffer(f.as_buffer(), "<i4")]
+    y = (sample["toxic"].to_numpy() == 1).astype(float)
+    times = sample["count"].to_numpy().astype(float)
+    del sample
+    w, b = logistic(cuts, col, ratios, y, times)
     weights[kept] = w * ratios
     return weights, b
 
 
-def logistic(doc, col, value, y, times, n_features: int, l2: float = 3e-4, steps: int = 12, inner: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows: Newton steps, each solved by conjugate gradients; deterministic."""
-    n, total = len(y), times.sum()
+def logistic(cuts, col, ratios, y, times, l2: float = 3e-4, steps: int = 12, inner: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows: Newton steps, each solved by conjugate gradients; deterministic.
+
+    Row i has the features ``col[cuts[i] : cuts[i + 1]]``, each with its ratio as value. Rows are taken some at a time.
+    """
+    n, n_features, total = len(y), len(ratios), times.sum()
+    ends = [0]
+    while ends[-1] < n:
+        ends.append(max(ends[-1] + 1, int(np.searchsorted(cuts, cuts[ends[-1]] + ENTRIES, side="right")) - 1))
+    parts = [(a, b, col[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1])) for a, b in zip(ends, ends[1:])]
 
     def rows(v):
-        return np.bincount(doc, weights=value * v[col], minlength=n) + v[-1]
+        scaled, out = ratios * v[:-1], np.zeros(n)
+        for a, b, c, sizes in parts:
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a, dtype=np.int32), sizes), weights=scaled[c], minlength=b - a)
+        return out + v[-1]
 
     def columns(e):
-        return np.append(np.bincount(col, weights=value * e[doc], minlength=n_features), e.sum())
+        out = np.zeros(n_features)
+        for a, b, c, sizes in parts:
+            out += np.bincount(c, weights=np.repeat(e[a:b], sizes), minlength=n_features)
+        return np.append(ratios * out, e.sum())
 
     ridge = np.append(np.full(n_features, l2), 0.0)
     w = np.zeros(n_features + 1)
