@@ -288,6 +288,16 @@ def test_one_stays(docs, texts):
     assert jaccard.join_documents(nulled(docs)).count() == 18
 
 
+def test_one_stays_without_ids(docs, texts):
+    """Unlinked documents are classes of their own, whatever their doc_ids."""
+    alone = [d for d, (n, c) in classes(texts, 5, 80).items() if n and d < 120]
+    some = docs.filter(F.col("doc_id").isin(alone))
+    count = Counter(c for d, (n, c) in classes({d: texts[d] for d in alone}, 5, 80).items())
+    for same in (None, 5):
+        kept = jaccard.keep_one(some.withColumn("doc_id", F.lit(same).cast("long")))
+        assert kept.select("text").distinct().count() == kept.count() == len(count) > 50
+
+
 def test_bpe(docs, texts):
     from tokenizers import Tokenizer
 

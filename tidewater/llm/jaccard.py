@@ -310,11 +310,12 @@ def verified(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, tie, n_shingles, node, component) of every document; ``tie`` is the text's hash.
+    """(doc_id, tie, n_shingles, node, root, component) of every document; ``tie`` is the text's hash.
 
     Links: sets of distinct ``k``-word shingles (A-Z lowered) with 100 * intersection >= percent * union. A null
     or empty text has no shingles and links with nothing. ``component`` is the smallest doc_id reachable by
-    links, itself included. Sets are told apart by 64-bit hashes of shingles and of sets.
+    links, itself included; ids can be null or repeated, so it doesn't name the class. ``root``, the class's least
+    node, does. Sets are told apart by 64-bit hashes of shingles and of sets.
 
     Equal sets are one node. Nodes that share a sketch key are candidates; every linked pair is. Each joins the least
     node of the key, and what is so connected is a family: all links lie within families, where they are verified
@@ -337,9 +338,9 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = made.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     least = least.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
     lowest = least.groupBy("root").agg(F.min("low").alias("least"))
-    of_node = least.select("node", "root").join(lowest, "root").select("node", "least")
+    of_node = least.select("node", "root").join(lowest, "root")
     out = made.drop("keys", "again", "hubs").join(of_node, "node", "left")
-    return out.select("doc_id", "tie", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component"))
+    return out.select("doc_id", "tie", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component"))
 
 
 def join_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -357,7 +358,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def _keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tagged = docs.withColumns({"_tie": F.xxhash64("text"), "_empty": ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
     found = near_classes(docs, k, percent).filter("n_shingles > 0")
-    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("f")).select(F.col("f.doc_id").alias("k_id"), F.col("f.tie").alias("k_tie"))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("f")).select(F.col("f.doc_id").alias("k_id"), F.col("f.tie").alias("k_tie"))
     kept = written(kept)
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_tie") == F.col("k_tie"))
     # Rows that share the kept one's id and text are repeats of it; one of each group stays, whatever else they hold.
