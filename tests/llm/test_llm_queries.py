@@ -146,6 +146,40 @@ def test_ann(spark, sf):
     assert ann.search(df.filter("vec_id in (0, 1)"), 50, 5).count() == 1
 
 
+def test_ann_among_near_copies(spark):
+    """Tight clusters don't take recall from the queries outside of them."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(80, 64))
+    rows = np.concatenate([centres[rng.integers(0, 80, 4_800)] + 0.01 * rng.normal(size=(4_800, 64)), rng.normal(size=(3_200, 64))])
+    rows = rows[rng.permutation(len(rows))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    have = defaultdict(set)
+    for r in ann.search(df, 20, 5).collect():
+        have[r.query_id].add(r.vec_id)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    recall = defaultdict(list)
+    for q in range(0, len(rows), 20):
+        s = unit @ unit[q]
+        s[q] = -9
+        true = np.argsort(-s)[:5]
+        recall[s[true[-1]] > 0.9].append(len(have[q] & set(true.tolist())) / 5)
+    assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9, {k: np.mean(v) for k, v in recall.items()}
+
+
+def test_ann_finds_k_where_few_are_near(spark):
+    """A query alone in the buckets that it visits."""
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([np.ones((400, 16)) + 0.01 * rng.normal(size=(400, 16)), -np.ones((1, 16))])
+    df = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    df = df.withColumn("vec_id", F.when(F.col("vec_id") == 401, 420).otherwise(F.col("vec_id")))
+    got = Counter(r.query_id for r in ann.search(df, 20, 5).collect())
+    assert got == {q: 5 for q in [*range(20, 401, 20), 420]}
+
+
+def test_all_mass_is_every_bucket():
+    assert ann.visits(np.array([[[1.0, 0.0, 0.0]]]), 1.0).all()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     for trial in range(300):

@@ -19,8 +19,9 @@ TABLES, SEED = 4, 97
 CELLS, WIDTH = 4, 1.0
 #: Hashes in a bucket's key: at least, at most; in between, buckets number about the square root of the rows.
 LEAST_HASHES, MOST_HASHES = 4, 10
-#: Sampled queries that set how far to probe, and the share of their neighbours that must be found.
-SAMPLE, WANTED = 128, 0.96
+#: Sampled queries that set how far to probe, the share of their neighbours that must be found, and the least share
+#: that must be found of each of ``LEVELS`` parts of them, from the farthest neighbours to the nearest.
+SAMPLE, WANTED, LEAST_WANTED, LEVELS = 128, 0.96, 0.9, 4
 #: Rows of one bucket, and queries, that meet in one task at once.
 CELL_ROWS, CELL_QUERIES = 4_096, 2_048
 
@@ -67,8 +68,15 @@ def odds(x: np.ndarray, hashes: int, near: float) -> np.ndarray:
     return out
 
 
+def chances(x: np.ndarray, hashes: int, levels: list[float]) -> np.ndarray:
+    """Estimated chance of each bucket for a neighbour that is at one of the cosines ``levels``, all alike likely."""
+    return sum(odds(x, hashes, near) for near in levels) / len(levels)
+
+
 def visits(chance: np.ndarray, mass: float) -> np.ndarray:
-    """Which buckets are visited: in order of chance, until the visited ones' chances sum to ``mass``."""
+    """Which buckets are visited: in order of chance, until the visited ones' chances sum to ``mass``; all for 1."""
+    if mass >= 1:
+        return np.ones(chance.shape, bool)
     order = np.argsort(-chance, axis=-1, kind="stable")
     ranked = np.take_along_axis(chance, order, axis=-1)
     ahead = np.cumsum(ranked, axis=-1) - ranked
@@ -111,11 +119,12 @@ def nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.
     return q, r, (queries[q] * rows[r]).sum(axis=1) / (ql[q] * rl[r])
 
 
-def calibrate(rows: DataFrame, queries: DataFrame, hashes: int, k: int) -> tuple[float, float]:
-    """(near, mass): the cosine of a typical neighbour, and how much chance to visit in each table.
+def calibrate(rows: DataFrame, queries: DataFrame, hashes: int, k: int) -> tuple[list[float], float]:
+    """(levels, mass): cosines of typical neighbours, far to near, and how much chance to visit in each table.
 
     At most ``SAMPLE`` queries (those with the least id hash) are held against all rows in blocks; the mass is the
-    least of a fixed ladder that finds ``WANTED`` of their neighbours in some table.
+    least of a fixed ladder that finds ``WANTED`` of their neighbours in some table, and ``LEAST_WANTED`` of each
+    level's: near copies, however many, don't stand for the others. The ladder ends with every bucket.
     """
     spark = rows.sparkSession
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
@@ -133,16 +142,19 @@ def calibrate(rows: DataFrame, queries: DataFrame, hashes: int, k: int) -> tuple
     found = rows.filter(F.col("dim") == dim).select("vec_id", "v").mapInArrow(search, "q int, vec_id long, score double, v array<double>")
     true = best(found, ["q"], k).collect()
     if not true:
-        return 0.5, 1.0
-    near = float(np.clip(np.median([r["score"] for r in true]), 0.05, 0.999))
-    chance = odds(q, hashes, near)
+        return [0.5], 1.0
+    scores = np.array([r["score"] for r in true])
+    parts = [p for p in np.array_split(np.argsort(scores, kind="stable"), LEVELS) if len(p)]
+    levels = [float(np.clip(np.median(scores[p]), 0.05, 0.999)) for p in parts]
+    chance = chances(q, hashes, levels)
     at = np.array([r["q"] for r in true])
     home = buckets(np.array([r["v"] for r in true]), hashes)
-    for mass in [0.02, 0.05, *np.arange(0.1, 1.0, 0.04)]:
+    for mass in [0.02, 0.05, *np.arange(0.1, 1.0, 0.04), 0.99, 0.995, 0.999]:
         seen = visits(chance, mass)
-        if np.any([seen[t, at, home[t]] for t in range(TABLES)], axis=0).mean() >= WANTED:
-            return near, float(mass)
-    return near, 1.0
+        hit = np.any([seen[t, at, home[t]] for t in range(TABLES)], axis=0)
+        if hit.mean() >= WANTED and min(hit[p].mean() for p in parts) >= LEAST_WANTED:
+            return levels, float(mass)
+    return levels, 1.0
 
 
 def search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -152,7 +164,8 @@ def search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vecto
     only they are indexed. Each table puts a vector in one bucket; a query visits buckets in order of their estimated
     chance of holding a neighbour. A bucket's rows and its visitors are cut into parts of bounded size, and each pair of
     parts meets in one task, so neither a hot bucket nor a crowd of queries is gathered. The best of each meeting
-    are merged; scores are taken from the original vectors in double precision. Queries with fewer candidates get all.
+    are merged; scores are taken from the original vectors in double precision. Queries for which fewer than ``k`` are
+    found visit every bucket.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector)
@@ -165,7 +178,7 @@ def search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vecto
     if not n or queries.isEmpty():
         return empty
     hashes = min(MOST_HASHES, max(LEAST_HASHES, round(math.log(max(n, 2), CELLS) / 2)))
-    near, mass = calibrate(rows, queries, hashes, k)
+    levels, mass = calibrate(rows, queries, hashes, k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,27 +189,24 @@ def search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vecto
                 for t, b in enumerate(buckets(matrix(part.column(1)), hashes)):
                     yield pa.RecordBatch.from_arrays([part.column(2), pa.array(np.full(len(b), t, np.int32)), pa.array(b), part.column(0), part.column(1)], names=["dim", "t", "b", "vec_id", "v"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], mass: float) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 for start in range(0, len(part), 256):
                     some = part.slice(start, 256)
-                    for t, seen in enumerate(visits(odds(matrix(some.column(1)), hashes, near), mass)):
+                    # Each table has every vector, so one is enough where all buckets are visited.
+                    seen_by = visits(chances(matrix(some.column(1)), hashes, levels), mass) if mass < 1 else [np.ones((len(some), CELLS**hashes), bool)]
+                    for t, seen in enumerate(seen_by):
                         q, b = np.nonzero(seen)
                         q = pa.array(q)
                         yield pa.RecordBatch.from_arrays([some.column(2).take(q), pa.array(np.full(len(q), t, np.int32)), pa.array(b), some.column(0).take(q), some.column(1).take(q)], names=["dim", "t", "b", "vec_id", "v"])
 
     shape, cell = "dim int, t int, b long, vec_id long, v array<double>", ["dim", "t", "b"]
     made = written(rows.select("vec_id", "v", "dim").mapInArrow(index, shape))
-    asked = written(queries.select("vec_id", "v", "dim").mapInArrow(probe, shape))
     # One row for each bucket in use: far fewer than rows.
     parts = made.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_ROWS).cast("long").alias("parts"))
-    crowds = asked.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_QUERIES).cast("long").alias("crowds"))
-    sizes = parts.join(crowds, cell)
-    dealt = made.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("vec_id"), "parts").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)).alias("c"), "vec_id", "v")
-    guests = asked.join(sizes, cell).select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.pmod(F.xxhash64("vec_id"), "crowds").alias("c"), "vec_id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -208,10 +218,27 @@ def search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vecto
             out.append(pa.table({"query_id": ids[at : at + 512][a], "vec_id": row_ids[b], "score": s}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    keys = [*cell, "p", "c"]
-    found = dealt.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best(once, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def answers(some: DataFrame, mass: float) -> DataFrame:
+        """(query_id, rank, vec_id, score) of the queries ``some``."""
+        asked = written(some.select("vec_id", "v", "dim").mapInArrow(lambda batches: probe(batches, mass), shape))
+        crowds = asked.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_QUERIES).cast("long").alias("crowds"))
+        sizes = parts.join(crowds, cell)
+        dealt = made.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("vec_id"), "parts").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)).alias("c"), "vec_id", "v")
+        guests = asked.join(sizes, cell).select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.pmod(F.xxhash64("vec_id"), "crowds").alias("c"), "vec_id", "v")
+        keys = [*cell, "p", "c"]
+        found = dealt.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return best(once, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    out = answers(queries, mass)
+    if mass >= 1:
+        return out
+    out = written(out)
+    full = out.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = written(queries.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return out
+    return out.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").union(answers(short, 1.0))
 
 
 def brute_force(vectors: list[tuple[int, list[float]]], every: int, k: int) -> list[tuple[int, int, int, float]]:
