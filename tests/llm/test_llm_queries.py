@@ -78,6 +78,21 @@ def test_mixing(docs, texts):
     assert mixing.mix(nulled(docs), [3, 1, 2], 1.5).count() == 18
 
 
+def test_mixing_reaches_small_sources(spark, monkeypatch):
+    """Blocks far longer than some sources, as on a large input."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    sizes = {"a": 20_000, "b": 15_000, "c": 18_000, "d": 3_000, "e": 1_000, "f": 500, "g": 100, "h": 7}
+    rows = [(i, " ".join(["w"] * min(90, n - at)), "en", s, 0) for s, n in sizes.items() for i, at in enumerate(range(0, n, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for share in (1.5, 0.7):
+        per, goal = Counter(), {}
+        for r in mixing.mix(docs, [3, 1, 2], share, keep=["doc_id", "source"]).collect():
+            assert 0 <= r.taken <= 2 * r.size and r.copies * r.size + r.extra == r.taken and 0 <= r.extra < r.size
+            per[r.source] += r.taken
+            goal[r.source] = r.target
+        assert all(abs(per[s] - goal[s]) <= 0.5 for s in sizes), (per, goal)
+
+
 def test_targets_are_dealt_again():
     assert mixing.targets([100, 10, 0], [1, 1, 1], 1.5) == [145.0, 20.0, 0.0]
 

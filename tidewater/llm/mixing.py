@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from tidewater.llm.common import WORD, plainly, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Slots that a schedule has about; the block length follows from it and from MIN_BLOCK.
+#: Slots that a schedule has about; the most words of a block follow from it and from MIN_BLOCK.
 SLOTS, MIN_BLOCK = 1 << 20, 64
 #: Rows that are put in order together, and slots that are ranked together.
 BUCKET_ROWS, CHUNK = 20_000, 8_192
@@ -48,13 +48,15 @@ def mix(docs: DataFrame, pattern: list[float], share: float, seed: int = 11, kee
     ``taken`` = ``copies`` whole passes plus the first ``extra`` words once more. Sources are weighted by
     ``pattern``, repeating, in ascending code-point order with a null source last.
 
-    Schedule: slot k carries the point frac((k + 1/2) / golden ratio); cumulative target shares map it to a
-    source; the slot's rank among that source's slots, modulo its block count, names a block. A source's
-    blocks are equal stretches of its words, its documents laid end to end in a seeded shuffle. A block is
-    taken at most ``MAX_EPOCHS`` times, so no document is taken more than that.
+    Schedule: a source's blocks are equal stretches of its words, its documents laid end to end in a seeded
+    shuffle; it needs as many slots as bring it to its target, the last of which may take part of a block only.
+    Slot k carries the point frac((k + 1/2) / golden ratio); cumulative shares of needed slots map it to a
+    source; the slot's rank among that source's slots, modulo its block count, names a block. Points beyond a
+    source's need take nothing, and slots that the points leave out come last, so a source of any size gets its
+    target to the word. No target is above ``MAX_EPOCHS`` times the source, so no document is taken more than that.
 
-    Only per-source totals reach the driver (one row a source). Slots number about ``SLOTS`` whatever the
-    input. A hot source is laid out by buckets of documents and its slots are ranked by chunks, both joined
+    Only per-source totals reach the driver (one row a source). Slots number about ``SLOTS``, and a few a source
+    more, whatever the input. A hot source is laid out by buckets of documents and its slots are ranked by chunks, both joined
     by prefix sums of small totals. Documents without words are never taken; equal rows are separate rows.
     """
     spark = docs.sparkSession
@@ -69,10 +71,11 @@ def mix(docs: DataFrame, pattern: list[float], share: float, seed: int = 11, kee
     goal = targets(sizes, [pattern[i % len(pattern)] for i in range(len(sizes))], share)
     total = sum(goal)
     block = max(MIN_BLOCK, round(total / SLOTS))
-    n_slots = math.ceil(total / block)
+    blocks = [max(1, -(-size // block)) for size in sizes]
+    plans = [needed(round(g), size, b) for g, size, b in zip(goal, sizes, blocks)]
     facts = spark.createDataFrame(
-        [(i, r["m_source"], r["words"], goal[i], max(1, -(-r["words"] // block))) for i, r in enumerate(totals)],
-        "s int, f_source string, source_size long, target double, blocks long",
+        [(i, r["m_source"], r["words"], goal[i], blocks[i], *plans[i]) for i, r in enumerate(totals)],
+        "s int, f_source string, source_size long, target double, blocks long, need long, part long, stop long",
     )
 
     buckets = max(1, sum(r["rows"] for r in totals) // BUCKET_ROWS)
@@ -81,36 +84,52 @@ def mix(docs: DataFrame, pattern: list[float], share: float, seed: int = 11, kee
     offsets = laid.groupBy("s", "b").agg(F.sum("size").alias("w")).select("s", "b", F.coalesce(F.sum("w").over(ends), F.lit(0)).alias("before"))
     inside = Window.partitionBy("s", "b").orderBy("h", "rid").rowsBetween(Window.unboundedPreceding, 0)
     placed = laid.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["s", "b"]).withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
-    placed = written(placed.select("rid", *[f"k_{c}" for c in keep], "s", "size", "source_size", "target", "start"))
-
-    taken = takes(spark, goal, n_slots, facts)
-    pieces = placed.filter("size > 0").select(
-        "rid", "s", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
-    )
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    got = pieces.withColumn("n", overlap).join(taken, ["s", "block"], "left").withColumn("takes", F.coalesce("takes", F.lit(0)))
-    per = got.groupBy("rid").agg(F.sum(F.col("n") * F.col("takes")).alias("taken"), F.min("takes").alias("copies"))
-    out = placed.join(per, "rid", "left").fillna(0, ["taken", "copies"])
+    placed = written(placed.select("rid", *[f"k_{c}" for c in keep], "s", "size", "source_size", "target", "start", "blocks", "part", "stop"))
+
+    taken = takes(spark, [p[0] for p in plans], facts)
+    # Block j of B begins at word j * W div B of the source's W words.
+    pieces = placed.filter("size > 0").withColumn("end", F.col("start") + F.col("size")).withColumn("w", F.greatest("source_size", F.lit(1)))
+    pieces = pieces.withColumn("block", F.explode(F.expr("sequence(((start + 1) * blocks - 1) div w, (end * blocks - 1) div w)")))
+    pieces = pieces.withColumns({"lo": F.expr("greatest(start, block * w div blocks)"), "hi": F.expr("least(end, (block + 1) * w div blocks)")})
+    got = pieces.join(taken, ["s", "block"], "left").withColumn("takes", F.coalesce("takes", F.lit(0)))
+    once_more = F.when(F.col("block") == F.col("part"), F.greatest(F.lit(0), F.least("hi", "stop") - F.col("lo"))).otherwise(0)
+    per = got.groupBy("rid").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("takes") + once_more).alias("taken"))
+    out = placed.join(per, "rid", "left").fillna(0, ["taken"]).withColumn("copies", F.expr("taken div greatest(size, 1)"))
     return out.select(
         *[F.col(f"k_{c}").alias(c) for c in keep], "size", "source_size", "target", F.col("taken").cast("long").alias("taken"),
         F.col("copies").cast("int").alias("copies"), (F.col("taken") - F.col("copies") * F.col("size")).cast("long").alias("extra"),
     )
 
 
-def takes(spark, goal: list[float], n_slots: int, facts: DataFrame) -> DataFrame:
-    """(s, block, takes) of a schedule of ``n_slots`` slots."""
-    total, upto, cum = sum(goal) or 1.0, 0.0, []
-    for g in goal:
-        upto += g
-        cum.append(upto / total)
+def needed(goal: int, size: int, blocks: int) -> tuple[int, int, int]:
+    """(need, part, stop): slots that take whole blocks, and a block taken once more up to word ``stop``, or -1.
+
+    Of ``size`` words in ``blocks`` blocks ``goal`` are taken, pass after pass from the first word on.
+    """
+    if not size:
+        return 0, -1, 0
+    passes, rest = divmod(goal, size)
+    part = ((rest + 1) * blocks - 1) // size
+    return passes * blocks + part, part if rest > part * size // blocks else -1, rest
+
+
+def takes(spark, need: list[int], facts: DataFrame) -> DataFrame:
+    """(s, block, takes) of a schedule of as many slots as the sources need."""
+    n_slots, upto, cum = sum(need), 0, []
+    for n in need:
+        upto += n
+        cum.append(upto / max(n_slots, 1))
     slots = spark.range(n_slots).withColumn("p", ((F.col("id") + 0.5) * F.lit(GOLDEN)) % F.lit(1.0))
     bounds = F.array(*[F.lit(c) for c in cum[:-1]]).cast("array<double>")
     slots = slots.select("id", F.size(F.filter(bounds, lambda c: c <= F.col("p"))).alias("s"), F.floor(F.col("id") / CHUNK).alias("chunk"))
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = slots.groupBy("s", "chunk").agg(F.count("*").alias("c")).select("s", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("id")) - 1).join(counts, ["s", "chunk"])
-    ranked = ranked.join(F.broadcast(facts.select("s", "blocks")), "s").withColumn("rank", F.col("ahead") + F.col("r"))
-    once = ranked.filter(F.col("rank") < MAX_EPOCHS * F.col("blocks"))
+    ranked = ranked.join(F.broadcast(facts.select("s", "blocks", "need")), "s").withColumn("rank", F.col("ahead") + F.col("r"))
+    once = ranked.filter(F.col("rank") < F.col("need")).select("s", "blocks", "rank")
+    have = once.groupBy("s").agg(F.count("*").alias("have"))
+    short = facts.join(F.broadcast(have), "s", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).filter("have < need")
+    once = once.union(short.select("s", "blocks", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank")))
     return once.groupBy("s", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("takes"))
 
 
