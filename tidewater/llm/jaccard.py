@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewater.llm import shingles
-from tidewater.llm.common import plainly, written
+from tidewater.llm.common import discard, plainly, written
 from tidewater.llm.graph import components
 
 #: Bytes of text that a Python worker hashes at once.
 CHUNK = 3_000_000
 #: Rows up to which a side is broadcast.
 SMALL = 500_000
-#: Sets of a family that are held against each other at once, about.
-BLOCK = 1_500
-#: Documents of which one is looked at for frequent shingles; how many of those must hold one; the most that are kept.
-SAMPLE, COMMON, MOST_COMMON = 32, 4, 100_000
+#: Sketch blocks for each element by which linked sets can differ, and one.
+SPARE = 2
+#: Sketches of a side of a cell, about; members that a hub meets in a task; classes of a bucket that are paired directly.
+BLOCK, HOT, FEW = 512, 2_000, 32
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -51,75 +51,63 @@ class Bands:
         return member[order], band[order]
 
 
-def sketch_keys(h: np.ndarray, n: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of each set's parity sketch, and the index of each key's set.
+def sketch_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each set's parity sketch: (keys, membership of each key, set, second, slack of each membership).
 
-    In a range where linked sets differ in at most D elements, a sketch has D + 1 blocks; an element belongs to
-    one block by its hash, and a block is the XOR of its elements' hashes. Each differing element changes one
-    block, so at least one block of linked sets is equal: its value is a key.
-
-    A block without elements, or with ``common`` ones only (sorted hashes of frequent shingles), is weak: unlike sets
-    that hold one line in common would meet there. If linked sets agree in m blocks, all weak, the other D + 1 - m
-    blocks hold at most D differences, so at most m - 1 of them hold two or more; of the m blocks that follow the weak
-    ones at least one then holds one difference or none. Hence a weak block's keys are its value with the next
-    block's, and with the next block's less each one of its elements: no link is lost, whatever counts as common.
+    In a range where linked sets differ in at most D elements, a sketch has B = SPARE (D + 1) blocks; an element
+    belongs to one block by its hash, and a block is the XOR of its elements' hashes. Each differing element
+    changes one block, so linked sets agree in B - D blocks at least. Hence, in any one order of all blocks' values, they
+    share one of their first D + 1 (pigeonhole). The order is ascending in how many sets hold a value, empty blocks last
+    by place; so an empty block is a key only of sets with fewer than D + 1 others. ``slack`` is by how many a
+    membership's keys exceed D + 1; ``second`` marks memberships of the range before a set's own.
     """
     bands = Bands(percent, int(n.max(initial=1)))
     member, band = bands.of(n)
     if not len(member):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    blocks = bands.apart[band] + 1
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none.astype(bool), none
+    prefix = bands.apart[band] + 1
+    blocks = SPARE * prefix
     base = np.cumsum(blocks) - blocks
     ends = np.cumsum(n)
     size = n[member]
     row = np.repeat(np.arange(len(member)), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[member] - size, size)
-    rare = np.ones(len(h), bool)
-    if len(common):
-        rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
     with np.errstate(over="ignore"):
         mixed = shingles.mix(h)
-        inner = ((h[place] >> np.uint64(32)) * blocks[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        at = base[row] + inner
+        at = base[row] + ((h[place] >> np.uint64(32)) * blocks[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         total = int(base[-1] + blocks[-1])
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        value = np.zeros(total, np.uint64)
+        value = np.full(total, EMPTY, np.uint64)
         value[at[first]] = np.bitwise_xor.reduceat(mixed[place], first)
-        strong = np.zeros(total, bool)
-        strong[at[first]] = np.logical_or.reduceat(rare[place], first)
+        held = np.zeros(total, bool)
+        held[at[first]] = True
         row_of = np.repeat(np.arange(len(member)), blocks)
-        index = np.arange(total) - base[row_of]
-        label = shingles.mix(band[row_of].astype(np.uint64) << np.uint64(40) | index.astype(np.uint64))
-        full, weak = np.flatnonzero(strong), np.flatnonzero(~strong)
-        keys, owner = [shingles.mix(value[full] ^ label[full])], [member[row_of[full]]]
-        if len(weak):
-            own = shingles.mix(value ^ label ^ EMPTY)
-            follow = base[row_of[weak]] + (index[weak] + 1) % blocks[row_of[weak]]
-            keys.append(shingles.mix(own[weak] ^ value[follow]))
-            owner.append(member[row_of[weak]])
-            prior = base[row] + (inner - 1) % blocks[row]
-            less = np.flatnonzero(~strong[prior])
-            keys.append(shingles.mix(own[prior[less]] ^ value[at[less]] ^ mixed[place[less]]))
-            owner.append(member[row[less]])
-    return np.concatenate(keys), np.concatenate(owner)
-
-
-def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of shingles that many documents hold, estimated on one document in ``SAMPLE``; at most ``MOST_COMMON``.
-
-    They decide how keys are made, not what links: any set of them gives the same links.
+        filled = np.bincount(row_of[held], minlength=len(member))
+        empty = np.cumsum(~held)
+        empty -= np.repeat(empty[base] - ~held[base], blocks)
+        use = np.flatnonzero(held | (empty <= (prefix - filled)[row_of]))
+        row_of = row_of[use]
+        label = shingles.mix(band[row_of].astype(np.uint64) << np.uint64(40) | (use - base[row_of]).astype(np.uint64))
+        keys = shingles.mix(value[use] ^ label)
+    second = np.concatenate([[False], member[1:] == member[:-1]])
+    return keys, row_of, member, second, np.maximum(filled - prefix, 0)
+
+
+def bit_sketches(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's bits, in bytes on end, and how many bytes each has.
+
+    An element flips the bit that its hash's low bits number, so the Hamming distance of two sketches is a lower
+    bound on the sets' symmetric difference. A sketch has a power of two bits, at least twice the elements and 64;
+    one folded in two by XOR is the sketch of half as many bits, so sketches of any two lengths compare.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for start, stop in chunks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(shingles.sets(texts[start:stop], k)[0]))], names=["h"])
-
-    sample = docs.select("text").filter(f"text is not null and pmod(xxhash64(doc_id, text), {SAMPLE}) = 0")
-    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
+    bits = 64 << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 32)), 0).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    owner = np.repeat(np.arange(len(n)), n)
+    at = base[owner] + (h & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.zeros(int(bits.sum()), np.uint8)
+    np.bitwise_xor.at(odd, at, np.uint8(1))
+    return np.packbits(odd, bitorder="little"), bits // 8
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -137,56 +125,100 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=np.uint64).view(np.int64)
 
 
-def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One 64-bit number for each set: equal sets have equal ones. 0 stands for the empty set."""
-    out = np.zeros(len(n), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        first = np.cumsum(n)[some] - n[some]
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(shingles.mix(h ^ EMPTY), first) + n[some].astype(np.uint64)
-            out[some] = shingles.mix(shingles.mix(total) ^ np.bitwise_xor.reduceat(h, first)) | np.uint64(1)
-    return out
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, tie, n_shingles, node, keys, again, hubs) of each document.
+def first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, text) with one row for each distinct nonempty text, and the table that tells copies apart, to be discarded.
 
-    ``node`` names the document's shingle set. ``keys`` are its sketch's, but for those (``again``) that an earlier
-    set of the same chunk has already; ``hubs`` names those earlier sets. A key that a large group shares thus
-    enters the shuffle once a chunk. Equal sets of a chunk give their keys once.
+    ``node`` is a 63-bit hash of the text. Rows that repeat both the id and the text can come twice.
     """
-    common = frequent(docs, k)
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", longs), ("again", longs), ("hubs", longs)])
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit(-2)).alias("node")).filter("text is not null and text != ''")
+    copies = written(hashed.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).filter("n > 1"))
+    alone = hashed.join(side(copies), "node", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("low")))
+    return alone.select("node", "text"), copies
+
 
-    def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values)))
+def sketches(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, n_shingles, sketch, slack0, slack1, keys0, keys1, shared) of (node, text).
+
+    ``keys0`` and ``keys1`` are the keys of the set's own range and of the one before. A key that several sets of a
+    chunk hold is in ``shared`` instead, once, with all its members (``node``, or ``node`` + 1 in the range before): what
+    a large group shares enters the shuffle once a chunk.
+    """
+    longs = pa.list_(pa.int64())
+    shared = pa.list_(pa.struct([("key", pa.int64()), ("members", longs)]))
+    schema = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("slack0", pa.int64()), ("slack1", pa.int64()), ("keys0", longs), ("keys1", longs), ("shared", shared)])
+
+    def offsets(owner: np.ndarray, n: int) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32))
+
+    def part(node: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+        h, n = shingles.sets(texts, k)
+        keys, row, member, second, slack = sketch_keys(h, n, percent)
+        order = np.argsort(keys, kind="stable")
+        keys, row = keys[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        count = np.diff(np.concatenate([first, [len(keys)]]))
+        m, single = len(n), np.repeat(count == 1, count)
+        cols = [pa.array(node), pa.array(n.astype(np.int64)), binaries(*bit_sketches(h, n))]
+        for again in (False, True):
+            out = np.zeros(m, np.int64)
+            out[member[second == again]] = slack[second == again]
+            has = np.isin(np.arange(m), member[second == again])
+            cols.append(pa.array(out, mask=~has))
+        for again in (False, True):
+            some = np.flatnonzero(single & (second[row] == again))
+            some = some[np.argsort(member[row[some]], kind="stable")]
+            cols.append(pa.ListArray.from_arrays(offsets(member[row[some]], m), pa.array(signed(keys[some]))))
+        many = np.flatnonzero(count > 1)
+        many = many[np.argsort(member[row[first[many]]], kind="stable")]
+        at = np.repeat(first[many] - (np.cumsum(count[many]) - count[many]), count[many]) + np.arange(int(count[many].sum()))
+        ids = node[member[row[at]]] + second[row[at]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[many])]).astype(np.int32)), pa.array(ids))
+        pairs = pa.StructArray.from_arrays([pa.array(signed(keys[first[many]])), lists], names=["key", "members"])
+        cols.append(pa.ListArray.from_arrays(offsets(member[row[first[many]]], m), pairs))
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for start, stop in chunks(texts):
-                h, n = shingles.sets(texts[start:stop], k)
-                nodes = signatures(h, n)
-                keys, owner = sketch_keys(h, n, percent, common)
-                _, lead = np.unique(nodes, return_index=True)
-                keep = np.isin(owner, lead)
-                keys, owner = keys[keep], owner[keep]
-                order = np.lexsort((owner, keys))
-                keys, owner = keys[order], owner[order]
-                new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-                hub = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else owner
-                once, twice = np.argsort(owner[new], kind="stable"), np.flatnonzero(~new & (owner != hub))
-                twice = twice[np.argsort(owner[twice], kind="stable")]
-                m = stop - start
-                cols = [lists(keys[new][once], owner[new][once], m), lists(keys[twice], owner[twice], m), lists(nodes[hub[twice]], owner[twice], m)]
-                head = [batch.column(0).slice(start, m), batch.column(2).slice(start, m), pa.array(n.astype(np.int64)), pa.array(signed(nodes))]
-                yield pa.RecordBatch.from_arrays(head + cols, schema=schema)
-
-    return source.mapInArrow(run, "doc_id long, tie long, n_shingles long, node long, keys array<long>, again array<long>, hubs array<long>")
+            data, node = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_numpy()
+            for start, stop in chunks(data):
+                yield part(node[start:stop], data[start:stop])
+
+    ddl = "node long, n_shingles long, sketch binary, slack0 long, slack1 long, keys0 array<long>, keys1 array<long>, shared array<struct<key: long, members: array<long>>>"
+    return texts.select("node", "text").mapInArrow(run, ddl)
+
+
+def buckets(made: DataFrame) -> DataFrame:
+    """(key, node, held): the first keys, by rarity, of each set; ``held`` is how many sets have the key at all.
+
+    Of keys that no other set has only their number counts, and that is known: what is left of D + 1 after them is chosen
+    among the others. A set that has D + 1 keys for itself can't link and drops out here.
+    """
+    none = F.lit(None).cast("array<long>")
+    tokens = made.select(F.explode("keys0").alias("key"), F.col("node").alias("member"), none.alias("members"))
+    tokens = tokens.union(made.select(F.explode("keys1"), F.col("node") + 1, none))
+    tokens = tokens.union(made.select(F.explode("shared").alias("s")).select("s.key", F.lit(None).cast("long"), "s.members"))
+    held = F.sum(F.coalesce(F.when(F.col("members").isNotNull(), F.size("members")), F.lit(1))).over(Window.partitionBy("key"))
+    common = tokens.withColumn("held", held).filter("held > 1")
+    common = common.select("key", "held", F.explode(F.coalesce("members", F.array("member"))).alias("member"))
+    slack = made.select(F.col("node").alias("member"), F.col("slack0").alias("slack")).union(made.select(F.col("node") + 1, "slack1"))
+    slack = slack.filter("slack is not null").groupBy("member").agg(F.max("slack").alias("slack"))
+    mine = Window.partitionBy("member")
+    ranked = common.join(slack, "member").withColumn("n", F.count("*").over(mine)).filter("n > slack")
+    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy("held", "key"))).filter("rank <= n - slack")
+    return ranked.select("key", F.col("member").bitwiseAND(F.lit(-2)).alias("node"), "held")
+
+
+def with_key(rows: DataFrame, per_key: DataFrame) -> DataFrame:
+    """``rows`` (key, held, ...) joined with ``per_key`` (key, held, ...) on the key, keys that many hold in parts."""
+    parts = F.ceil(F.col("held") / HOT)
+    left = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    right = per_key.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("held")
+    return left.join(right, ["key", "part"]).drop("part")
 
 
 def side(df: DataFrame) -> DataFrame:
@@ -194,119 +226,217 @@ def side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray) -> np.ndarray:
-    """For each set the least index that links join it to, where sets of equal label count as joined already.
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, payload) of (node, text): the set's hashes ascending, in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(1).cast(pa.binary()).to_pylist()
+            for start, stop in chunks(data):
+                h, n = shingles.sets(data[start:stop], k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(n.astype(np.int64)), binaries(h.view(np.uint8), n * 8)], names=["node", "n", "payload"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, payload binary")
+
+
+def folded(x: bytes, size: int) -> int:
+    """The sketch of ``size`` bytes of which ``x`` is one of more."""
+    value, bits = int.from_bytes(x, "little"), len(x) * 8
+    while bits > size * 8:
+        bits //= 2
+        value = value >> bits ^ value & (1 << bits) - 1
+    return value
 
-    All sets are held against each other at once: a matrix of sets by shared elements, times its transpose.
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` elements with these sketches can link."""
+    size = min(len(x), len(y))
+    return 100 * min(n, m) >= percent * max(n, m) and (folded(x, size) ^ folded(y, size)).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether the sets link."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (n + m - common)
+
+
+def meet(pairs: DataFrame, table: DataFrame, test: Callable[..., bool], percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, cell) that pass ``test`` on their rows of ``table`` (node, n, payload).
+
+    b's row is sent once a cell, and each a's to it; a worker holds one b and one batch.
     """
-    m = len(sets)
-    n = np.array([len(x) for x in sets], dtype=np.float64)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    many = np.bincount(column) > 1
-    row = np.repeat(np.arange(m), n.astype(np.int64))[many[column]]
-    column = (np.cumsum(many) - 1)[column][many[column]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((m, m), dtype=np.float32)
-    for start in range(0, int(many.sum()), 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        part = np.zeros((m, 4096), dtype=np.float32)
-        part[row[a:b], column[a:b] - start] = 1
-        common += part @ part.T
-    joined = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    joined |= labels[:, None] == labels[None, :]
-    least = np.arange(m, dtype=np.int32)
-    while True:
-        lower = np.where(joined, least[None, :], np.int32(m)).min(axis=1)
-        lower = np.minimum(lower, least)
-        lower = lower[lower]
-        if np.array_equal(lower, least):
-            return least
-        least = lower
-
-
-def cell_links(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b) edges that join what links join in each cell. ``cells``: (family, cell, node, label, shingles).
-
-    A cell is a bounded number of sets, so a task holds one cell and one batch.
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, payload = None, 0, b""
+        for batch in batches:
+            out = []
+            b, cell, a, size, data = (batch.column(i).to_pylist() for i in range(5))
+            for i in range(batch.num_rows):
+                if a[i] is None:
+                    now, n, payload = (b[i], cell[i]), size[i], data[i]
+                elif now == (b[i], cell[i]) and test(n, payload, size[i], data[i], percent):
+                    out.append((a[i], b[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    each = pairs.join(table, F.col("a") == F.col("node")).select("b", "cell", "a", "n", "payload")
+    hubs = pairs.select("b", "cell").distinct().join(table, F.col("b") == F.col("node")).select("b", "cell", F.lit(None).cast("long").alias("a"), "n", "payload")
+    dealt = each.union(hubs).repartition("b", "cell").sortWithinPartitions("b", "cell", F.col("a").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def across(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different classes in a cell that can link by their sketches.
+
+    ``cells``: (kind, id, i, j, side, node, class, n, payload); side 0 meets side 1, each ``BLOCK`` rows about.
     """
 
+    def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        by = {}
+        for r in rows:
+            by.setdefault((r[0], len(r[4])), []).append(r)
+        for (s, size), left in by.items():
+            for (t, other), right in by.items():
+                if s or not t:
+                    continue
+                width = min(size, other)
+                words = [np.stack([np.frombuffer(r[4], np.uint64).reshape(-1, width // 8) for r in rows]) for rows in (left, right)]
+                x, y = (np.bitwise_xor.reduce(w, axis=1) for w in words)
+                (a, c, n), (b, d, m) = (np.array([(r[1], r[2], r[3]) for r in rows], np.int64).T for rows in (left, right))
+                for i in range(len(a)):
+                    far = np.bitwise_count(x[i] ^ y).sum(axis=1, dtype=np.int64)
+                    ok = (far * (100 + percent) <= (100 - percent) * (n[i] + m)) & (c[i] != d) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m))
+                    yield from ((int(a[i]), int(q)) for q in b[ok])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, labels, sets, seen = None, [], [], [], set()
+        now, held = None, []
 
         def done() -> pa.RecordBatch:
-            least = linked(sets, percent, np.array(labels))
-            some = np.flatnonzero(least != np.arange(len(nodes)))
-            node = np.array(nodes)
-            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[least[some]])], names=["a", "b"])
+            out = list(compared(held))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            family, cell, node, label = (batch.column(i).to_pylist() for i in range(4))
-            lists = batch.column(4)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for i in range(batch.num_rows):
-                if (family[i], cell[i]) != now:
-                    if len(nodes) > 1:
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            for *cell, s, node, of, n, payload in zip(*cols):
+                if cell != now:
+                    if held:
                         yield done()
-                    now, nodes, labels, sets, seen = (family[i], cell[i]), [], [], [], set()
-                if node[i] in seen:  # a repeated row
-                    continue
-                seen.add(node[i])
-                nodes.append(node[i])
-                labels.append(label[i])
-                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
-        if len(nodes) > 1:
+                    now, held = cell, []
+                held.append((s, node, of, n, payload))
+        if held:
             yield done()
 
-    dealt = cells.select("family", "cell", "node", "label", "shingles").repartition("family", "cell").sortWithinPartitions("family", "cell")
+    place = ["kind", "id", "i", "j"]
+    dealt = cells.select(*place, "side", "node", "class", "n", "payload").repartition(*place).sortWithinPartitions(*place)
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of (node, text)."""
+def blocks_of(n: str) -> F.Column:
+    return F.ceil(F.col(n) / BLOCK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column(1).cast(pa.binary()).to_pylist()
-            for start, stop in chunks(data):
-                h, n = shingles.sets(data[start:stop], k)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h)))], names=["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+def upto(n: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def verified(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component): what exact links join within each family of candidates.
+def crowded(many: DataFrame) -> DataFrame:
+    """(id, i, j, node, class, side): cells in which all members of each bucket of ``many`` (key, node, class, rows) meet.
 
-    A family's sets are dealt into blocks by hash. First each block meets the family's block 0, which settles a
-    family of one or two blocks and finds most links of a larger one. In a larger one, sets that are joined by then
-    share blocks; all pairs of blocks meet but for two blocks of one and the same component.
+    Crowded buckets that hold the same classes over and over are put together into one group, so that its members meet
+    once, where that takes fewer rows than a group for each bucket.
+    """
+    group = written(components(many.select("key", "class").distinct(), "key", "class")).select(F.col("node").alias("class"), F.col("component").alias("id"))
+    placed = many.join(group, "class")
+    whole = placed.select("id", "node", "class").distinct()
+    apart = placed.groupBy("id").agg(F.sum(blocks_of("rows")).alias("apart"))
+    counts = whole.groupBy("id").agg(F.count("*").alias("rows")).join(apart, "id").withColumn("together", F.col("rows") * blocks_of("rows") <= F.col("apart"))
+    counts = written(counts)
+    met = whole.join(counts.filter("together").select("id", "rows"), "id").select("id", "node", "class", "rows")
+    single = placed.join(counts.filter("not together").select("id"), "id", "left_semi").select(F.col("key").alias("id"), "node", "class", "rows")
+    met = met.union(single).withColumn("block", F.pmod(F.xxhash64("node", "id"), blocks_of("rows"))).withColumn("other", upto(blocks_of("rows")))
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    sides = F.when(F.col("block") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") > F.col("other")).cast("int")))
+    return met.select("id", "i", "j", "node", "class", F.explode(sides).alias("side"))
+
+
+def remaining(first: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that share a bucket, are of different classes by now, and can link by their sketches: all such pairs.
+
+    Where a bucket has few classes, each two are related, whatever bucket says so, and the members of the smaller
+    one meet those of the larger, together with all others that are related to it. Where it has many, its members
+    meet one another (see ``crowded``). Either way in cells of two blocks of sketches.
+    """
+    classed = first.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    per = classed.groupBy("key", "class").agg(F.max("held").alias("held"), F.count("*").alias("rows"))
+    keys = written(per.groupBy("key").agg(F.max("held").alias("held"), F.sum("rows").alias("rows"), F.count("*").alias("classes")).filter("classes > 1"))
+    sizes = labels.groupBy(F.col("component").alias("class")).agg(F.count("*").alias("size"))
+    few = per.drop("rows").join(keys.filter(F.col("classes") <= FEW).select("key"), "key").join(sizes, "class", "left")
+    few = few.groupBy("key").agg(F.collect_list(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "class")).alias("c"))
+    two = few.select(F.explode(F.expr("flatten(transform(c, x -> transform(filter(c, y -> y < x), y -> struct(x as big, y as small))))")).alias("p"))
+    two = written(two.select(F.col("p.big.class").alias("id"), F.col("p.big.size").alias("size"), F.col("p.small.class").alias("class")).distinct())
+
+    members = first.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("class"))
+    small = two.select("id", "size", "class").join(members, "class")
+    count = small.groupBy("id").agg(F.count("*").alias("smalls"))
+    small = small.join(count, "id").withColumn("j", F.pmod(F.xxhash64("node"), blocks_of("smalls"))).withColumn("i", upto(blocks_of("size")))
+    big = two.groupBy("id").agg(F.max("size").alias("size")).join(count, "id").join(members.withColumnRenamed("class", "id"), "id")
+    big = big.withColumn("i", F.pmod(F.xxhash64("node"), blocks_of("size"))).withColumn("j", upto(blocks_of("smalls"))).withColumn("class", F.col("id"))
+    form = ["id", "i", "j", "node", "class"]
+    cells = big.select(F.lit(0).alias("kind"), *form, F.lit(0).alias("side")).union(small.select(F.lit(0), *form, F.lit(1)))
+
+    many = written(with_key(classed, keys.filter(F.col("classes") > FEW).select("key", "held", "rows")))
+    if not many.isEmpty():
+        cells = cells.union(crowded(many).select(F.lit(1), *form, "side"))
+    return across(cells.join(nodes, "node"), percent)
+
+
+def links(docs_texts: DataFrame, made: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, n, payload) with the sketches of all sets, and (node, component) of those that link, None if none does.
+
+    All pairs that share a bucket are tested, but those that links join already. First each set meets the hub
+    it shares most of its keys with, then all its hubs: of each of its buckets the least node and another; then
+    what is left meets in cells.
     """
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    meets = F.when(F.col("blocks") <= 2, F.array(F.lit(1))).when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.col("block").cast("int")))
-    cells = placed.withColumn("cell", F.explode(meets)).withColumn("label", F.col("node")).join(sets, "node")
-    links = written(cell_links(cells, percent))
-    labels = written(components(links))
-
-    large = placed.filter("blocks > 2").select("family", "node").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    large = written(large.select("family", "node", "c"))
-    if large.isEmpty():
-        return labels
-    per = large.groupBy("family", "c").agg(F.count("*").alias("n"))
-    small = per.filter(F.col("n") < BLOCK).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
-    at = large.join(per, ["family", "c"]).join(small, "family", "left")
-    own = F.concat(F.col("c").cast("string"), F.lit("/"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("string"))
-    mixed = F.concat(F.lit("mixed/"), F.pmod(F.xxhash64("c"), "mixed").cast("string"))
-    at = written(at.select("family", "node", "c", F.when(F.col("n") < BLOCK, mixed).otherwise(own).alias("block"), F.when(F.col("n") >= BLOCK, F.col("c")).alias("of")))
-    blocks = at.select("family", "block", "of").distinct()
-    x, y = blocks.select("family", F.col("block").alias("x"), F.col("of").alias("x_of")), blocks.select("family", F.col("block").alias("y"), F.col("of").alias("y_of"))
-    pairs = x.join(y, "family").filter("x <= y and (x_of is null or y_of is null or x_of != y_of)")
-    pairs = pairs.withColumn("cell", F.concat_ws("|", "x", "y")).select("family", "cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    cells = at.join(pairs, ["family", "block"]).withColumn("label", F.col("c")).join(sets, "node")
-    more = written(cell_links(cells, percent))
-    return labels if more.isEmpty() else written(components(links.union(more)))
+    nodes = written(made.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("payload")))
+    first = written(buckets(made))
+    discard(made)
+    by = F.min(F.struct(F.xxhash64("node", "key"), "node"))
+    hubs = first.groupBy("key").agg(F.max("held").alias("held"), F.min("node").alias("low"), by.getField("node").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    met = with_key(first, hubs).select(F.col("node").alias("a"), F.explode(F.array("low", "other")).alias("b"), F.ceil(F.col("held") / HOT).alias("cells"))
+    stars = met.filter("a != b").groupBy("a", "b").agg(F.count("*").alias("w"), F.max("cells").alias("cells"))
+    stars = written(stars.withColumn("cell", F.pmod(F.xxhash64("a"), "cells")).drop("cells"))
+    if stars.isEmpty():
+        discard(first, stars)
+        return nodes, None
+    some = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sets = written(shingle_sets(docs_texts.join(side(some), "node", "left_semi"), k).dropDuplicates(["node"]))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        near = written(meet(pairs, nodes, may_link, percent).withColumn("cell", F.pmod(F.xxhash64("a"), F.lit(16))))
+        found = written(meet(near, sets, link, percent))
+        discard(near)
+        return found
+
+    best = stars.groupBy("a").agg(F.max(F.struct("w", "b", "cell")).alias("s")).select("a", "s.b", "s.cell")
+    found = tested(best)
+    labels = written(components(found))
+    class_of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
+    apart = ~F.coalesce(F.col("class_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("class_b"), F.col("b")))
+    rest = stars.join(best, ["a", "b"], "left_anti").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").filter(apart)
+    more = tested(rest.select("a", "b", "cell"))
+    discard(stars)
+    if not more.isEmpty():
+        old, found = found, written(found.union(more))
+        discard(old, labels)
+        labels = written(components(found))
+    left = remaining(first, labels, nodes, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    last = tested(written(left.withColumn("cell", F.lit(0).cast("long"))))
+    if not last.isEmpty():
+        labels = written(components(found.union(last)))
+    discard(sets, first)
+    return nodes, labels
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -315,32 +445,23 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Links: sets of distinct ``k``-word shingles (A-Z lowered) with 100 * intersection >= percent * union. A null
     or empty text has no shingles and links with nothing. ``component`` is the smallest doc_id reachable by
     links, itself included; ids can be null or repeated, so it doesn't name the class. ``root``, the class's least
-    node, does. Sets are told apart by 64-bit hashes of shingles and of sets.
+    node, does. Texts and shingles are told apart by hashes of 63 and 64 bits.
 
-    Equal sets are one node. Nodes that share a sketch key are candidates; every linked pair is. Each joins the least
-    node of the key, and what is so connected is a family: all links lie within families, where they are verified
-    on the exact sets.
+    Equal texts are one node. Nodes that share one of their sketches' rarest keys are candidates; every linked pair is.
+    Their bit sketches, then their exact sets, are held against each other before anything is connected.
     """
-    made = written(sketches(docs, k, percent))
-    once = made.select("node", F.explode("keys").alias("key"))
-    hub = F.min("node").over(Window.partitionBy("key"))
-    stars = once.withColumn("hub", hub).filter("hub != node").select("node", "hub")
-    again = made.select("node", F.explode("hubs").alias("hub"))
-    families = written(components(stars.union(again), "node", "hub").withColumnRenamed("component", "family"))
-
-    chosen = made.filter("n_shingles > 0").join(side(families.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tie", "doc_id")).alias("f"))
-    chosen = written(chosen.select("node", F.col("f.tie").alias("tie"), F.col("f.doc_id").alias("doc_id")))
-    source = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("t"))
-    texts = source.join(side(chosen), (F.col("t") == F.col("tie")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    sets = written(shingle_sets(texts, k))
-    labels = verified(families, sets, percent)
-
-    least = made.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    least = least.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    lowest = least.groupBy("root").agg(F.min("low").alias("least"))
-    of_node = least.select("node", "root").join(lowest, "root")
-    out = made.drop("keys", "again", "hubs").join(of_node, "node", "left")
-    return out.select("doc_id", "tie", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component"))
+    texts, copies = first_texts(docs)
+    made = written(sketches(texts, k, percent))
+    nodes, labels = links(texts, made, k, percent)
+    discard(copies)
+    each = docs.select("doc_id", F.xxhash64("text").alias("tie")).withColumn("node", F.col("tie").bitwiseAND(F.lit(-2)))
+    each = each.join(nodes.select("node", F.col("n").alias("n_shingles")), "node", "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("component")).limit(0)
+    each = each.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    lowest = each.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    out = each.join(side(lowest), "root", "left")
+    return out.select("doc_id", "tie", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component"))
 
 
 def join_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
