@@ -25,21 +25,28 @@ CHUNK = 1_500_000
 ENTRIES = 1 << 20
 
 
-def features(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all ``n``-grams of the lower-cased texts, a space put on both ends, and where each text begins."""
+def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature numbers of all n-grams of the lower-cased texts, a space put on both ends, for each of ``LENGTHS``, and where each text begins.
+
+    An n-gram's hash goes on from that of the n-gram one character shorter, so all lengths cost as much as the longest.
+    """
     coded = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(c) for c in coded], dtype=np.int64)
     data = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
     starts = np.cumsum(sizes) - sizes
-    h = np.full(max(len(data) - n + 1, 0), 2166136261 + n, dtype=np.uint32)
-    for i in range(n):
-        h = (h ^ data[i : len(data) - n + 1 + i]) * np.uint32(0x01000193)
+    h, found = np.full(len(data), 2166136261, dtype=np.uint32), []
+    for n in range(1, max(LENGTHS) + 1):
+        h = h[: max(len(data) - n + 1, 0)] ^ data[n - 1 :]
+        h *= np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-    h = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    out = np.concatenate([h, np.zeros(len(data) - len(h), np.uint32)])
-    for back in range(1, n):  # those that would run on into the next text
-        out[(starts + sizes - back)[sizes >= back]] = 0
-    return out, starts
+        if n not in LENGTHS:
+            continue
+        f = np.zeros(len(data), np.uint32)
+        f[: len(h)] = ((h + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        for back in range(1, n):  # those that would run on into the next text
+            f[(starts + sizes - back)[sizes >= back]] = 0
+        found.append(f)
+    return found, starts
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -53,16 +60,23 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def presence(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The (text, feature) pairs, each once, of features that have a weight; feature 0 never has one."""
-    found = []
-    for n in LENGTHS:
-        f, starts = features(texts, n)
-        at = np.flatnonzero(weights[f])
-        text = np.searchsorted(starts, at, side="right") - 1
-        found.append(np.unique(text.astype(np.int64) << BITS | f[at]))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+def presence(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (text, feature) pairs, each once, of ``wanted`` features, by text; feature 0 never is one.
+
+    A feature's occurrences in a text write their places to one table; the one whose place stays there counts.
+    """
+    each, starts = features(texts)
+    held = []
+    for f in each:
+        at = np.flatnonzero(wanted[f])
+        held.append((f[at], np.searchsorted(at, np.append(starts, len(f)))))
+    last, order, out = np.zeros(1 << BITS, np.int32), np.arange(sum(len(f) for f, _ in held), dtype=np.int32), []
+    for t in range(len(texts)):
+        mine = np.concatenate([f[cuts[t] : cuts[t + 1]] for f, cuts in held])
+        last[mine] = order[: len(mine)]
+        out.append(mine[last[mine] == order[: len(mine)]])
+    sizes = np.array([len(x) for x in out], np.int64)
+    return np.repeat(np.arange(len(texts)), sizes), np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 def training(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
@@ -124,7 +138,7 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
             for a, b in chunks(texts):
                 text, f = presence(texts[a:b], mask)
                 cuts = np.cumsum(np.bincount(text, minlength=b - a))[:-1]
-                found = pa.array([x.tobytes() for x in np.split(f.astype("<i4"), cuts)], pa.binary())
+                found = pa.array([np.sort(x).tobytes() for x in np.split(f.astype("<i4"), cuts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), found], names=["toxic", "f"])
 
     sample = train.mapInArrow(encode, "toxic int, f binary").groupBy("toxic", "f").count().toArrow()
@@ -143,8 +157,8 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     return weights, b
 
 
-def logistic(cuts, col, ratios, y, times, l2: float = 3e-4, steps: int = 12, inner: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows: Newton steps, each solved by conjugate gradients; deterministic.
+def logistic(cuts, col, ratios, y, times, l2: float = 3e-4, steps: int = 50, inner: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows: Newton steps, solved by conjugate gradients to a tenth of the slope; deterministic.
 
     Row i has the features ``col[cuts[i] : cuts[i + 1]]``, each with its ratio as value. Rows are taken some at a time.
     """
@@ -181,8 +195,9 @@ def logistic(cuts, col, ratios, y, times, l2: float = 3e-4, steps: int = 12, inn
         curve = times * np.maximum(p * (1 - p), 1e-6) / total
         x, r = np.zeros_like(w), -g
         d, rr = r.copy(), r @ r
+        enough = max(0.01 * rr, 1e-16)
         for _ in range(inner):
-            if rr < 1e-16:
+            if rr < enough:
                 break
             hd = columns(curve * rows(d)) + ridge * d
             a = rr / (d @ hd)
@@ -208,10 +223,11 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
+        wanted = w != 0
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in chunks(texts):
-                text, f = presence(texts[a:b], w)
+                text, f = presence(texts[a:b], wanted)
                 z = np.bincount(text, weights=w[f], minlength=b - a) + bias
                 p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                 head = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
