@@ -15,13 +15,15 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: The order in which entropy counts characters; '=' pads and counts too.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WINDOW = 20
+#: Bits of a character's count in a window (it is at most WINDOW), and counts that a long holds.
+COUNT_BITS, PACKED = 5, 12
 #: Character class of a candidate: (name, pattern of the whole string, least bits per character in the best window).
 CLASSES = [("digits", r"^[0-9]+$", 9.9), ("hex", r"^[0-9a-fA-F]+$", 2.9), ("base36", r"^[0-9a-z_=-]+$", 3.6), ("base64", r"^.+$", 3.8)]
 #: Candidates that look like secrets and aren't: samples, identifiers, dates, counting runs, file and web paths.
 ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx|0123456789|abcdefgh|(.)\1{5}"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"|^/|//|(?:[a-z]+[/_-]){3}"
+    r"|^/|//|(?<![a-z])(?:[a-z]++[/_-]){3}"
 )
 
 
@@ -32,19 +34,24 @@ def quoted(pattern: str) -> str:
 def entropy(s: str) -> str:
     """SQL for the largest entropy, in bits a character, of a ``WINDOW``-long window of string ``s``.
 
-    One pass: a character that enters or leaves changes its count and the sum of c ln c by one term each.
+    One pass: a character that enters or leaves changes its count and the sum of c ln c by one term each. The counts are
+    packed into a few longs, which makes a step cheap however many characters the alphabet has.
     """
     f = "if({0} > 0, {0} * ln({0}), 0D)"
-    enter, leave = "get(h, i - 1)", f"if(i > {WINDOW}, get(h, i - {WINDOW + 1}), -1)"
-    counts = "transform(a.c, (n, j) -> n + if(j = x.e, 1, 0) - if(j = x.l, 1, 0))"
-    gain = f"{f.format('(a.c[x.e] + 1)')} - {f.format('a.c[x.e]')}"
-    loss = f"if(x.l < 0, 0D, {f.format('(a.c[greatest(x.l, 0)] - 1)')} - {f.format('a.c[greatest(x.l, 0)]')})"
-    total = f"if(x.e = x.l, a.t, a.t + {gain} + {loss})"
     codes = f"transform(split({s}, ''), ch -> instr('{ALPHABET}', ch) - 1)"
-    steps = f"transform(array({codes}), h -> transform(sequence(1, size(h)), i -> named_struct('i', i, 'e', {enter}, 'l', {leave})))[0]"
+    leave = f"if(i > {WINDOW}, get(h, i - {WINDOW + 1}), -1)"
+    place = lambda c: f"'{c}q', greatest({c}, 0) div {PACKED}, '{c}s', cast({COUNT_BITS} * (greatest({c}, 0) % {PACKED}) as int)"
+    step = f"transform(array(named_struct('e', get(h, i - 1), 'l', {leave})), y -> named_struct('i', i, 'e', y.e, 'l', y.l, {place('y.e')}, {place('y.l')}))[0]".replace("'y.", "'")
+    steps = f"transform(array({codes}), h -> transform(sequence(1, size(h)), i -> {step}))[0]"
+    one = lambda c: f"if(j = x.{c}q, shiftleft(1L, x.{c}s), 0L)"
+    counts = f"transform(a.c, (n, j) -> n + {one('e')} - if(x.l < 0, 0L, {one('l')}))"
+    count = lambda c: f"(shiftrightunsigned(a.c[x.{c}q], x.{c}s) & {(1 << COUNT_BITS) - 1})"
+    gain = f"{f.format('(' + count('e') + ' + 1)')} - {f.format(count('e'))}"
+    loss = f"if(x.l < 0, 0D, {f.format('(' + count('l') + ' - 1)')} - {f.format(count('l'))})"
+    total = f"if(x.e = x.l, a.t, a.t + {gain} + {loss})"
     best = f"if(x.i >= {WINDOW}, greatest(a.b, ln({WINDOW}D) - {total} / {WINDOW}D), a.b)"
     return (
-        f"aggregate({steps}, named_struct('c', array_repeat(0, {len(ALPHABET)}), 't', 0D, 'b', 0D), "
+        f"aggregate({steps}, named_struct('c', array_repeat(0L, {-(-len(ALPHABET) // PACKED)}), 't', 0D, 'b', 0D), "
         f"(a, x) -> named_struct('c', {counts}, 't', {total}, 'b', {best}), a -> a.b / ln(2D))"
     )
 
