@@ -71,20 +71,40 @@ def likeness(a: str, b: str) -> str:
     return f"case when size({a}) = 0 and size({b}) = 0 then 1D when size({a}) = 0 or size({b}) = 0 then 0D else {estimate} end"
 
 
+def cuts(docs: DataFrame, rows: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """One row with the ascending array ``cuts`` of ids at which groups of about ``rows`` rows begin, and (heavy, parts).
+
+    A range exchange of the ids alone finds the quantiles, however uneven the ids are. An id that more than ``rows`` rows
+    have, or null, is heavy: it is a group by itself, to be divided into ``parts``. There are at most ``most`` groups and as
+    many heavy ids, so both tables can be broadcast.
+    """
+    n = docs.count()
+    rows = max(rows, -(-n // most))
+    heavy = docs.groupBy(F.col("doc_id").alias("heavy")).agg(F.ceil(F.count("*") / rows).alias("parts")).filter("parts > 1")
+    ids = docs.select("doc_id").filter("doc_id is not null").repartitionByRange(max(1, n // rows), "doc_id")
+    found = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("cut")).select("cut")
+    found = found.union(heavy.select(F.explode(F.array(F.col("heavy"), F.col("heavy") + 1)))).filter("cut is not null")
+    return found.agg(F.sort_array(F.collect_set("cut")).alias("cuts")), heavy
+
+
 def with_next(docs: DataFrame, extra: list[str]) -> DataFrame:
     """``docs`` (doc_id, text, ``extra``) with the next document's columns as ``next_*``; the first follows the last.
 
-    Order: doc_id ascending (nulls first), then the text's hash. Documents are put into buckets of consecutive
-    ids; the first document of a bucket also goes to the bucket before, so one exchange of the texts serves all
-    and no window spans buckets. Buckets number at most ``MAX_BUCKETS`` (and 1,024 for null ids), so their first
-    documents' ids can be broadcast.
+    Order: doc_id ascending (nulls first), then the text's hash. Documents are put into buckets of consecutive ids
+    (see ``cuts``; a heavy id's rows by ranges of the text's hash), each found by binary search among the cuts; the first
+    document of a bucket also goes to the bucket before, so one exchange of the texts serves all and no window spans buckets.
     """
+    at_cut, heavy = cuts(docs, BUCKET_ROWS, MAX_BUCKETS)
     docs = docs.withColumn("_tie", F.xxhash64("text"))
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    rows = max(BUCKET_ROWS, -(-n // MAX_BUCKETS))
-    width = max(1, ((hi or 0) - (lo or 0) + 1) * rows // max(n, 1))
-    at = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)), F.shiftright("_tie", 54) - 1024).cast("long")
-    placed = docs.withColumn("_b", at)
+    halve = (
+        "aggregate(sequence(0, cast(log2(size(cuts) + 1) as int)), named_struct('lo', 0, 'hi', size(cuts)), (a, k) -> if(a.lo >= a.hi, a, "
+        "if(cuts[(a.lo + a.hi) div 2] <= doc_id, named_struct('lo', cast((a.lo + a.hi) div 2 + 1 as int), 'hi', a.hi), named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int)))), a -> a.lo)"
+    )
+    part = F.shiftright((F.shiftright("_tie", 44) + (1 << 19)) * F.col("parts"), 20)
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(F.expr(halve)).cast("long")
+    placed = docs.crossJoin(F.broadcast(at_cut)).withColumn("_at", place).drop("cuts")
+    placed = placed.join(F.broadcast(heavy), F.col("doc_id").eqNullSafe(F.col("heavy")), "left")
+    placed = placed.withColumn("_b", F.col("_at") * (1 << 32) + F.coalesce(part, F.lit(0))).drop("_at", "heavy", "parts")
     firsts = placed.groupBy("_b").agg(F.min(F.struct("doc_id", "_tie")).alias("f"))
     order = Window.orderBy("_b")
     last = firsts.agg(F.max("_b").alias("_end"))
