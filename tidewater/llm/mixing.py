@@ -14,7 +14,7 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 #: Slots that a schedule has about; the most words of a block follow from it and from MIN_BLOCK.
 SLOTS, MIN_BLOCK = 1 << 20, 64
 #: Rows that are put in order together, and slots that are ranked together.
-BUCKET_ROWS, CHUNK = 20_000, 8_192
+BUCKET_ROWS, CHUNK = 2_000, 8_192
 MAX_EPOCHS = 2
 
 
@@ -134,15 +134,18 @@ def takes(spark, need: list[int], facts: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, pattern: list[float], share: float, seed: int = 11) -> DataFrame:
-    """The mixed corpus with ``docs``' columns: whole copies, and for a document cut by the mix its first words."""
+    """The mixed corpus with ``docs``' columns: whole copies, and for a document cut by the mix its first words, spaced as they were."""
     return plainly(docs, lambda d: _mixed(d, pattern, share, seed))
 
 
 def _mixed(docs: DataFrame, pattern: list[float], share: float, seed: int) -> DataFrame:
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = mix(numbered, pattern, share, seed, keep=["_row"]).filter("taken > 0").select("_row", "copies", "extra")
+    key = F.xxhash64("doc_id", "text", "source")  # places in the shuffle follow what a row holds, not where it lies
+    numbered = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_key": key}))
+    plan = mix(numbered, pattern, share, seed, keep=["_key", "_row"]).filter("taken > 0").select("_row", "copies", "extra")
     both = numbered.join(plan, "_row")
     each = both.withColumn("_part", F.explode(F.expr("concat(array_repeat(-1L, copies), if(extra > 0, array(extra), array()))")))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")))
+    first = lambda c: F.slice(c, F.lit(1), F.col("_part").cast("int"))
+    spaced = F.zip_with(first(F.split("text", WORD, -1)), first(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), lambda gap, word: F.concat(gap, word))
+    cut = F.array_join(spaced, "")
     out = each.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(cut))
     return out.withColumn("n_chars", F.length("text").cast("long"))
