@@ -23,7 +23,7 @@ LEAST_HASHES, MOST_HASHES = 4, 10
 #: that must be found of each of ``LEVELS`` parts of them, from the farthest neighbours to the nearest.
 SAMPLE, WANTED, LEAST_WANTED, LEVELS = 128, 0.96, 0.9, 4
 #: Rows of one bucket, and queries, that meet in one task at once.
-CELL_ROWS, CELL_QUERIES = 4_096, 2_048
+CELL_ROWS, CELL_QUERIES = 1_024, 1_024
 
 
 @lru_cache(maxsize=8)
@@ -51,38 +51,66 @@ def phi(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(0.07056 * x**3 + 1.5976 * x, -60, 60)))
 
 
-def odds(x: np.ndarray, hashes: int, near: float) -> np.ndarray:
-    """Estimated chance that a neighbour at cosine ``near`` lies in each bucket: (tables, rows, buckets).
+def cell_chances(x: np.ndarray, hashes: int, levels: list[float]) -> np.ndarray:
+    """Estimated chance of each cell of each projection for a neighbour at one of the cosines ``levels``: (tables, rows, hashes, cells).
 
-    A neighbour's projection is normal about ``near`` times the query's, with variance 1 - near**2.
+    A neighbour's projection is normal about its cosine times the query's, with variance 1 - cosine**2.
     """
     _, b = hashing(x.shape[1], hashes)
     p = projections(x, hashes)
-    centre, spread = (p - b) * near + b, max(math.sqrt(1 - near * near), 0.02)
-    edges = (np.arange(1, CELLS) - CELLS // 2) * WIDTH
-    below = phi((edges - centre[..., None]) / spread)
-    cells = np.diff(np.concatenate([np.zeros_like(below[..., :1]), below, np.ones_like(below[..., :1])], axis=-1), axis=-1)
-    out = np.ones((*p.shape[:2], 1))
-    for i in range(hashes):  # bucket numbers have the first hash as lowest digit
-        out = (cells[:, :, i, :, None] * out[:, :, None, :]).reshape(*p.shape[:2], -1)
-    return out
+    edges, out = (np.arange(1, CELLS) - CELLS // 2) * WIDTH, 0
+    for near in levels:
+        centre, spread = (p - b) * near + b, max(math.sqrt(1 - near * near), 0.02)
+        below = phi((edges - centre[..., None]) / spread)
+        out = out + np.diff(np.concatenate([np.zeros_like(below[..., :1]), below, np.ones_like(below[..., :1])], axis=-1), axis=-1)
+    return np.maximum(out / len(levels), 1e-15)
 
 
-def chances(x: np.ndarray, hashes: int, levels: list[float]) -> np.ndarray:
-    """Estimated chance of each bucket for a neighbour that is at one of the cosines ``levels``, all alike likely."""
-    return sum(odds(x, hashes, near) for near in levels) / len(levels)
+class Probes:
+    """The buckets of one table in the order of a query's estimated chances, without a list of all buckets.
 
+    A bucket's chance is the product of its cells'. The cells of the first and of the second half of the hashes have few
+    combinations each (the square root of the number of buckets); both are put in order once. How much chance the buckets
+    above a limit have is then a search in one half for each entry of the other, and so are the buckets themselves.
+    """
 
-def visits(chance: np.ndarray, mass: float) -> np.ndarray:
-    """Which buckets are visited: in order of chance, until the visited ones' chances sum to ``mass``; all for 1."""
-    if mass >= 1:
-        return np.ones(chance.shape, bool)
-    order = np.argsort(-chance, axis=-1, kind="stable")
-    ranked = np.take_along_axis(chance, order, axis=-1)
-    ahead = np.cumsum(ranked, axis=-1) - ranked
-    out = np.zeros(chance.shape, bool)
-    np.put_along_axis(out, order, ahead < mass, axis=-1)
-    return out
+    def __init__(self, cells: np.ndarray):
+        hashes = len(cells)
+        self.cut = CELLS ** (hashes // 2)
+        self.halves, self.codes = [], []
+        for part in (cells[: hashes // 2], cells[hashes // 2 :]):
+            chance = np.ones(1)
+            for c in part:  # bucket numbers have the first hash as lowest digit
+                chance = (c[:, None] * chance[None, :]).ravel()
+            order = np.argsort(-chance, kind="stable")
+            self.halves.append(chance[order])
+            self.codes.append(order)
+        self.upto = np.concatenate([[0.0], np.cumsum(self.halves[1])])
+
+    def counts(self, limit: float) -> np.ndarray:
+        """For each entry of the first half, how many of the second make a chance of ``limit`` or more."""
+        low, high = self.halves
+        return np.searchsorted(-high, -(limit / low), side="right")
+
+    def above(self, limit: float) -> float:
+        """The chance of all buckets whose own is ``limit`` or more."""
+        return float(self.halves[0] @ self.upto[self.counts(limit)])
+
+    def chance(self, bucket: int) -> float:
+        low, high = (int(np.flatnonzero(c == b)[0]) for c, b in zip(self.codes, (bucket % self.cut, bucket // self.cut)))
+        return float(self.halves[0][low] * self.halves[1][high])
+
+    def first(self, mass: float) -> np.ndarray:
+        """The fewest buckets, likeliest first, whose chances sum to ``mass``, about."""
+        no, yes = (math.log(h) for h in (self.halves[0][0] * self.halves[1][0] * 1.001, self.halves[0][-1] * self.halves[1][-1] * 0.999))
+        for _ in range(40):
+            half = (no + yes) / 2
+            no, yes = (no, half) if self.above(math.exp(half)) >= mass else (half, yes)
+        n = self.counts(math.exp(yes))
+        low = np.repeat(np.arange(len(n)), n)
+        high = np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(-(self.halves[0][low] * self.halves[1][high]), kind="stable")
+        return (self.codes[0][low] + self.codes[1][high] * self.cut)[order]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -94,14 +122,18 @@ def matrix(column: pa.Array) -> np.ndarray:
 def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(vec_id, v, dim) of the vectors that take part: whole, finite and not zero, with an id.
 
-    Their components become doubles, which holds floats exactly.
+    Components stay floats if they are, and else become doubles; scores are in doubles, which hold floats exactly.
     """
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector).cast(f"array<{component(df, vector)}>")
     out = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
-    bad = "exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))"
+    bad = "exists(v, x -> x is null or isnan(x) or abs(x) = cast('Infinity' as double))"
     return out.filter(f"not {bad} and exists(v, x -> x != 0)").withColumn("dim", F.size("v"))
 
 
+def component(df: DataFrame, vector: str) -> str:
+    return "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+
+
 def best(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -139,19 +171,23 @@ def calibrate(rows: DataFrame, queries: DataFrame, hashes: int, k: int) -> tuple
             a, b, s = nearest(q, ids, matrix(batch.column(1)), batch.column(0).to_numpy(), k)
             yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), batch.column(0).take(pa.array(b)), pa.array(s), batch.column(1).take(pa.array(b))], names=["q", "vec_id", "score", "v"])
 
-    found = rows.filter(F.col("dim") == dim).select("vec_id", "v").mapInArrow(search, "q int, vec_id long, score double, v array<double>")
+    found = rows.filter(F.col("dim") == dim).select("vec_id", "v").mapInArrow(search, f"q int, vec_id long, score double, v {rows.schema['v'].dataType.simpleString()}")
     true = best(found, ["q"], k).collect()
     if not true:
         return [0.5], 1.0
     scores = np.array([r["score"] for r in true])
     parts = [p for p in np.array_split(np.argsort(scores, kind="stable"), LEVELS) if len(p)]
     levels = [float(np.clip(np.median(scores[p]), 0.05, 0.999)) for p in parts]
-    chance = chances(q, hashes, levels)
-    at = np.array([r["q"] for r in true])
+    cells = cell_chances(q, hashes, levels)
     home = buckets(np.array([r["v"] for r in true]), hashes)
+    needed = np.ones(len(true))
+    for t in range(TABLES):
+        probes = [Probes(c) for c in cells[t]]
+        for i, r in enumerate(true):
+            order = probes[r["q"]]
+            needed[i] = min(needed[i], order.above(order.chance(int(home[t, i])) * (1 + 1e-9)))
     for mass in [0.02, 0.05, *np.arange(0.1, 1.0, 0.04), 0.99, 0.995, 0.999]:
-        seen = visits(chance, mass)
-        hit = np.any([seen[t, at, home[t]] for t in range(TABLES)], axis=0)
+        hit = needed < mass
         if hit.mean() >= WANTED and min(hit[p].mean() for p in parts) >= LEAST_WANTED:
             return levels, float(mass)
     return levels, 1.0
@@ -194,16 +230,16 @@ def search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vecto
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                for start in range(0, len(part), 256):
-                    some = part.slice(start, 256)
+                for start in range(0, len(part), 64):
+                    some = part.slice(start, 64)
                     # Each table has every vector, so one is enough where all buckets are visited.
-                    seen_by = visits(chances(matrix(some.column(1)), hashes, levels), mass) if mass < 1 else [np.ones((len(some), CELLS**hashes), bool)]
-                    for t, seen in enumerate(seen_by):
-                        q, b = np.nonzero(seen)
-                        q = pa.array(q)
+                    tables = cell_chances(matrix(some.column(1)), hashes, levels) if mass < 1 else [None]
+                    for t, q in ((t, q) for t in range(len(tables)) for q in range(len(some))):
+                        b = Probes(tables[t][q]).first(mass) if mass < 1 else np.arange(CELLS**hashes)
+                        q = pa.array(np.full(len(b), q))
                         yield pa.RecordBatch.from_arrays([some.column(2).take(q), pa.array(np.full(len(q), t, np.int32)), pa.array(b), some.column(0).take(q), some.column(1).take(q)], names=["dim", "t", "b", "vec_id", "v"])
 
-    shape, cell = "dim int, t int, b long, vec_id long, v array<double>", ["dim", "t", "b"]
+    shape, cell = f"dim int, t int, b long, vec_id long, v array<{component(vectors, vector)}>", ["dim", "t", "b"]
     made = written(rows.select("vec_id", "v", "dim").mapInArrow(index, shape))
     # One row for each bucket in use: far fewer than rows.
     parts = made.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_ROWS).cast("long").alias("parts"))
