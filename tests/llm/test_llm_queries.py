@@ -3,11 +3,14 @@
 import hashlib
 import math
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.llm import ann, bpe, induced, jaccard, minhash, mixing, queries, secrets, sharding, suffix_dedup, toxicity, wavelet
@@ -54,6 +57,106 @@ def test_sharding(docs, texts):
     assert sharding.shard_documents(nulled(docs)).count() == 18
 
 
+def test_sharding_by_hand(docs, texts):
+    """Shards and slots by an independent Feistel network over row numbers."""
+    n, seed = len(texts), 7
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def spark_hash(label, value):
+        return xxhash.xxh64_intdigest(struct.pack("<q", value), xxhash.xxh64_intdigest(label.encode(), 42))
+
+    def mod(label, value, m):
+        h = spark_hash(label, value)
+        return (h - (1 << 64) if h >> 63 else h) % m
+
+    def place(x):
+        while True:
+            left, right = divmod(x, b)
+            for i in range(sharding.ROUNDS):
+                left = (left + mod(f"{seed}/{i}/l", right, a)) % a
+                right = (right + mod(f"{seed}/{i}/r", left, b)) % b
+            x = left * b + right
+            if x < n:
+                return x
+
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(docs, 16, seed).collect()}
+    assert got == {d: (p % 16, p // 16) for d, p in zip(sorted(texts), map(place, range(n)))}
+
+
+def test_secrets_in_long_candidates(spark):
+    """A candidate of hundreds of thousands of characters takes linear time; words in paths stay allowed."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHJKLMNPQRSTUVWYZabcdefghjkmnpqrstuvwyz23456789"))
+    long = "".join(rng.choice(letters, 400_000))
+    long = re.sub(r"(?i)(.)\1{2,}", r"\1", long)
+    texts = [f"x {long} y", "z" * 500_000 + "-" + "Y7" * 100_000, "see some/path/to/file-with-Words-123456 now", "Qx7" + "-" * 3 + "Zk9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0"]
+    start = time.time()
+    got = [r.spans for r in sorted(secrets.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    assert time.time() - start < 60
+    assert got[0] == f"entropy:2:{len(long) + 2}" and got[1] == got[2] == ""
+
+
+def test_entropy_spans_by_hand(spark):
+    """Every candidate against entropies counted window by window."""
+    rng = np.random.default_rng(6)
+    alphabets = ["0123456789", "0123456789abcdefABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz_=-", secrets.ALPHABET]
+    texts = [" ".join("".join(rng.choice(list(a[: rng.integers(4, len(a) + 1)]), rng.integers(15, 60))) for _ in range(6)) for a in alphabets * 25]
+
+    def bits(s):
+        return max(sum(-c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+
+    got = {r.doc_id: r.spans for r in secrets.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        base = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in spans_by_re(t).split(",") if x]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            least = next(b for _, p, b in secrets.CLASSES if re.search(p, m[0]))
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not re.search(secrets.ALLOWED, m[0]) and not any(a < m.end() and m.start() < b for a, b in base) and bits(m[0]) >= least - 1e-12:
+                want.append(f"entropy:{m.start()}:{m.end()}")
+        assert [x for x in got[i].split(",") if x.startswith("entropy")] == want
+        some += len(want)
+    assert some > 50
+
+
+def test_fingerprints_by_hand(docs, texts):
+    """Fingerprints from shingle hashes, bins, probes and low bits computed one by one."""
+    start, stride = minhash.probes()
+    spark_hash = lambda parts, seed=42: [seed := xxhash.xxh64_intdigest(p, seed) for p in parts][-1]
+
+    def fingerprint(text):
+        words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
+        if not words:
+            return ""
+        packed = [struct.pack("<Q", w) for w in words]
+        few = 42
+        for w in packed[:4]:
+            few = spark_hash([struct.pack("<Q", few), w])
+        shingles = [spark_hash(packed[i : i + 5]) for i in range(len(packed) - 4)] or [few]
+        least = {}
+        for h in shingles:
+            b = h >> 56 ^ 128
+            least[b] = min(h, least.get(b, h))
+        bins = [least.get(b, next(least[(start[b] + t * stride[b]) % 256] for t in range(256) if (start[b] + t * stride[b]) % 256 in least) if b not in least else None) for b in range(256)]
+        return "".join(format(v & 15, "x") for v in bins)
+
+    got = {r.doc_id: r.fingerprint for r in minhash.fingerprint_documents(docs).collect()}
+    assert got == {d: fingerprint(t) for d, t in texts.items()}
+
+
+def test_fingerprints_with_uneven_ids(spark, monkeypatch):
+    """An outlier, a repeated id and null ids don't put all documents into one bucket, and the order still holds."""
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 10)
+    ids = [*range(200), 10**15, *[77] * 150, *[None] * 100]
+    df = spark.createDataFrame([(d, f"text {i} of some words here") for i, d in enumerate(ids)], "doc_id long, text string")
+    near = minhash.with_next(df, [])
+    rows = sorted(df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert {(r.text, r.next_text) for r in near.collect()} == {(a.text, b.text) for a, b in zip(rows, rows[1:] + rows[:1])}
+    at, heavy = minhash.cuts(df, 10, 50_000)
+    assert len(at.first().cuts) >= 15 and {r.heavy: r.parts for r in heavy.collect()} == {77: 16, None: 10}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_permutation_is_one(spark, n):
     places = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 3)).collect()]
@@ -191,8 +294,31 @@ def test_ann_finds_k_where_few_are_near(spark):
     assert got == {q: 5 for q in [*range(20, 401, 20), 420]}
 
 
-def test_all_mass_is_every_bucket():
-    assert ann.visits(np.array([[[1.0, 0.0, 0.0]]]), 1.0).all()
+def test_probes_are_in_order_of_chance():
+    rng = np.random.default_rng(9)
+    for hashes in (2, 5, 6):
+        cells = rng.dirichlet(np.ones(ann.CELLS) * 0.7, hashes) + 1e-9
+        chance = np.ones(1)
+        for c in cells:
+            chance = (c[:, None] * chance[None, :]).ravel()
+        order = ann.Probes(cells)
+        for mass in (0.05, 0.5, 0.93, 0.999):
+            got = order.first(mass)
+            want = np.argsort(-chance, kind="stable")
+            want = want[: 1 + np.searchsorted(np.cumsum(chance[want]), mass)]
+            assert len(set(got.tolist())) == len(got) and abs(len(got) - len(want)) <= 1
+            assert np.allclose(chance[got][: len(want)], chance[want][: len(got)])
+            assert math.isclose(order.above(chance[want[-1]] * (1 - 1e-9)), chance[want].sum(), rel_tol=1e-6)
+
+
+def test_probes_of_many_hashes_are_few():
+    """A million buckets, never listed."""
+    import tracemalloc
+
+    cells = ann.cell_chances(np.random.default_rng(2).normal(size=(16, 64)), 10, [0.5, 0.7, 0.9])
+    tracemalloc.start()
+    got = [ann.Probes(c).first(0.3) for c in cells[0]]
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000 and all(0 < len(g) < ann.CELLS**10 // 10 for g in got)
 
 
 def test_suffix_order():
@@ -321,9 +447,10 @@ def classes(texts, k, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("k, percent, block", [(4, 85, 400), (5, 80, 3), (3, 60, 2)])
-def test_jaccard(docs, texts, k, percent, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("k, percent, limits", [(4, 85, (512, 2000, 32)), (5, 80, (3, 2, 2)), (3, 60, (2, 1, 1)), (2, 50, (4, 3, 0))])
+def test_jaccard(docs, texts, k, percent, limits, monkeypatch):
+    for name, value in zip(("BLOCK", "HOT", "FEW"), limits):
+        monkeypatch.setattr(jaccard, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_documents(docs, k, percent).collect()}
     assert got == classes(texts, k, percent)
 
