@@ -58,10 +58,14 @@ def test_max_running_balance(spark):
 
 
 def test_hierarchy(spark):
-    tree = spark.createDataFrame([(1, "raiz", None), (2, "filho", 1), (3, "neto", 2), (4, "raiz2", None)], "id int, name string, parent_id int")
+    tree = spark.createDataFrame([(10, "earth", None), (20, "alps", 10), (30, "peak", 20), (40, "mars", None), (50, "lost", 99), (60, "ring", 70), (70, "gnir", 60)], "id int, name string, parent_id int")
     flat = reshape.flatten_tree(tree, tree, sep="/")
-    assert sorted(values(flat, "id", "level", "path")) == [(1, 0, "raiz"), (2, 1, "raiz/filho"), (3, 2, "raiz/filho/neto"), (4, 0, "raiz2")]
-    assert {r.id for r in reshape.subtree(flat, 2).collect()} == {2, 3}
+    assert sorted(values(flat, "id", "level", "path")) == [(10, 0, "earth"), (20, 1, "earth/alps"), (30, 2, "earth/alps/peak"), (40, 0, "mars")]
+    assert {r.id for r in reshape.subtree(flat, 20).collect()} == {20, 30}
+    deep = spark.range(60).select("id", F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    assert reshape.flatten_tree(deep, deep).filter("id = 59").first().level == 59
+    with pytest.raises(ValueError, match="levels"):
+        reshape.flatten_tree(deep, deep, limit=40)
 
 
 def test_pivot_unique_rejects(spark):
@@ -85,9 +89,9 @@ def test_contracts(spark):
 
 
 def test_margin(spark):
-    df = spark.createDataFrame([(10.0, Decimal("3.50"), bytearray(b"\x01\x02")), (99.9, Decimal("59.94"), bytearray(b"\xde\xad\xbe\xef"))], "unit_price double, unit_cost decimal(12,2), sku binary")
-    assert values(contracts.product_margin(df, Decimal(0)), "margin", "sku_hex") == [(Decimal("6.50"), "0102"), (Decimal("39.96"), "deadbeef")]
-    assert contracts.product_margin(df, Decimal("0.10")).first().margin == Decimal("5.50")
+    df = spark.createDataFrame([(8.0, Decimal("5.25"), bytearray(b"\x0a\x7f")), (42.6, Decimal("30.10"), bytearray(b"\xca\xfe\x00"))], "unit_price double, unit_cost decimal(12,2), sku binary")
+    assert values(contracts.product_margin(df, Decimal(0)), "margin", "sku_hex") == [(Decimal("2.75"), "0a7f"), (Decimal("12.50"), "cafe00")]
+    assert contracts.product_margin(df, Decimal("0.25")).first().margin == Decimal("0.75")
     with pytest.raises(TypeError):
         contracts.product_margin(df, 0.1)
     with pytest.raises(ValueError):
@@ -95,21 +99,21 @@ def test_margin(spark):
 
 
 def test_all_types(spark):
-    row = [("ana", 41, 1.5, True, date(2026, 1, 31), datetime(2026, 1, 1, 23, 30), Decimal("19.90"), ["a", "b"], ("caixa", 3), {"k": "v"}, bytearray(b"\x01\x02\x03"))]
+    row = [("kelp", 6, 0.75, False, date(2025, 3, 15), datetime(2025, 7, 9, 8, 5), Decimal("80.00"), ["x", "yz"], ("reef", 9), {"tide": "low"}, bytearray(b"\x10\x20"))]
     df = spark.createDataFrame(row, "texto string, inteiro int, real double, logico boolean, dia date, instante timestamp_ntz, valor decimal(12,2), lista array<string>, estrutura struct<nome:string,n:int>, mapa map<string,string>, binario binary")
     out = documents.transform_types(df)
     assert [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
     r = out.first()
-    assert tuple(r)[:8] == ("ANA", 42, 3.0, False, date(2026, 3, 2), datetime(2026, 1, 2, 0, 30), Decimal("21.89"), ["A", "B"])
-    assert (tuple(r.estrutura), r.mapa, bytes(r.binario)) == (("CAIXA", 6), {"k": "V"}, b"\x03\x02\x01")
+    assert tuple(r)[:8] == ("KELP", 7, 1.5, True, date(2025, 4, 14), datetime(2025, 7, 9, 9, 5), Decimal("88.00"), ["X", "YZ"])
+    assert (tuple(r.estrutura), r.mapa, bytes(r.binario)) == (("REEF", 18), {"tide": "LOW"}, b"\x20\x10")
 
 
 def test_json(spark):
-    docs = ['{"canal":"app","valor":1.10,"tags":["a","b"],"cliente":{"id":7}}', '{"canal":null,"valor":0.5}', '{"valor":null}', "{}", None]
+    docs = ['{"canal":"web","valor":12.34,"tags":["p","q","r"],"cliente":{"id":31}}', '{"canal":null,"valor":7.25}', '{"valor":null}', "{}", None]
     df = documents.as_json(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string"), "doc")
     got = [tuple(r)[1:] for r in documents.shred(df, "doc").orderBy("i").collect()]
     assert [(g[0], g[1], g[3], g[4], g[5]) for g in got] == [
-        ("app", Decimal("1.10"), "presente", 2, 7), (None, Decimal("0.50"), "presente", None, None), (None, None, "nulo", None, None), (None, None, "ausente", None, None), (None, None, "ausente", None, None),
+        ("web", Decimal("12.34"), "presente", 3, 31), (None, Decimal("7.25"), "presente", None, None), (None, None, "nulo", None, None), (None, None, "ausente", None, None), (None, None, "ausente", None, None),
     ]
     with pytest.raises(ValueError):
         documents.normalize(spark.createDataFrame([("{}",)], "doc string"), "doc")
@@ -119,8 +123,8 @@ def test_json(spark):
 
 
 def test_upsert_and_keys(spark):
-    old, new = spark.createDataFrame([(1, "original"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "atualizado"), (3, "novo")], "k int, v string")
-    assert dict(values(warehouse.upsert(old, new, ["k"], ["v"]))) == {1: "atualizado", 2: "b", 3: "novo"}
+    old, new = spark.createDataFrame([(4, "ebb"), (5, "flow")], "k int, v string"), spark.createDataFrame([(4, "surge"), (6, "swell")], "k int, v string")
+    assert dict(values(warehouse.upsert(old, new, ["k"], ["v"]))) == {4: "surge", 5: "flow", 6: "swell"}
     with pytest.raises(warehouse.ConstraintError):
         warehouse.upsert(old, new.union(new), ["k"], ["v"])
     keyed, high = warehouse.assign_keys(spark.range(1, 7).select(F.col("id").alias("n")), ["n"], 0)
@@ -147,7 +151,7 @@ def test_ddl():
 def test_csv_quarantine(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,valor\n1,10\n2,abc\n3,30\n")
     good, bad = readers.csv_quarantine(spark, str(tmp_path), StructType.fromDDL("id int, valor int"))
-    assert values(good) == [(1, 10), (3, 30)] and values(bad) == [(2, "valor", "abc", "2,abc")]
+    assert values(good) == [(1, 10), (3, 30)] and values(bad) == [(2, "valor", "CAST", "abc", "2,abc")]
 
 
 def test_reload_and_layout(spark, tmp_path):
@@ -185,16 +189,18 @@ def test_relation(spark, sf):
 def test_streams(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
     stream = running.events(spark, str(tmp_path / "in"), 1)
-    for name, df in (("tumble", running.tumbling(stream, "40 days")), ("gaps", running.sessions(stream, late="40 days"))):
-        q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        assert q.exception() is None
+    q = running.sessions(stream, late="400 days").writeStream.format("memory").queryName("gaps").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    gaps = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours")).agg(F.count("*").alias("n"))
+    assert sorted(values(spark.table("gaps"))) == sorted(values(gaps.select("user_id", "session_window.start", "n")))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = running.running_spend(stream).writeStream.format("memory").queryName("spend").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     last = spark.table("spend").groupBy("user_id").agg(F.max("cumulative_spend").alias("t"))
     want = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.sum("value").alias("w"))
     assert last.join(want, "user_id").filter(F.abs(F.col("t") - F.col("w")) > 1e-6).count() == 0
+    wrong = spark.table("spend").filter(F.col("customer_tier") != windows.tier(F.col("cumulative_spend")))
+    assert wrong.isEmpty() and spark.table("spend").count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
 def test_plan_uses_native_operators(spark, sf):
@@ -202,3 +208,133 @@ def test_plan_uses_native_operators(spark, sf):
 
     names = profile.operators(registry.queries()["running_spend_tier"](spark, sf))
     assert "Window" in names and not any("Python" in n or "Pandas" in n for n in names)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Three batches: a row behind the watermark doesn't count, one within it does; closed windows come once."""
+    rows = [[(1, "a", datetime(2025, 1, 1, 5), 1.0), (2, "a", datetime(2025, 1, 3, 5), 2.0)], [(3, "a", datetime(2025, 1, 1, 6), 100.0), (4, "a", datetime(2025, 1, 3, 4, 30), 4.0)], [(5, "a", datetime(2025, 1, 9), 8.0)]]
+    for i, r in enumerate(rows):
+        spark.createDataFrame(r, "event_id long, event_type string, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not i:
+            stream = running.events(spark, str(tmp_path / "in"), 1)
+        q = running.tumbling(stream, "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.to_date("start").alias("d"), "n", "value")
+    assert sorted(values(got)) == [(date(2025, 1, 1), 1, 1.0), (date(2025, 1, 3), 2, 6.0)]
+
+
+def test_quantiles_and_places(spark, monkeypatch):
+    from tidewater.operators import shape
+
+    monkeypatch.setattr(shape, "FEW", 50)
+    monkeypatch.setattr(shape, "PRECISION", 100)
+    for rows in ([*range(5000)], [7.5] * 3000 + [1.0] * 2999, [1.0, 2.0], [float(i * i % 977) for i in range(4000)], [5.0]):
+        df = spark.createDataFrame([(float(v),) for v in rows] + [(None,)], "v double")
+        for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+            assert shape.exact_quantile(df, "v", q) == pytest.approx(df.agg(F.percentile("v", F.lit(q))).first()[0], rel=1e-12)
+    assert shape.exact_quantile(df.limit(0), "v", 0.5) is None
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 10).alias("o"), "id")
+    got = windows.place(df.unionByName(df.select(F.lit(None).cast("long").alias("k"), "o", "id")), ["k"], [F.desc("o"), F.col("id")])
+    from pyspark.sql import Window
+
+    assert got.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("o"), "id"))).filter("place != want").isEmpty() and got.count() == 2000
+
+
+def test_footers_of_odd_files(spark, tmp_path):
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    spark.range(1000).withColumn("x", F.array("id")).coalesce(1).write.parquet(str(tmp_path / "some"))
+    assert readers.parquet_files(spark, str(tmp_path / "none")).agg(F.sum("rows")).first()[0] in (0, None)
+    assert readers.parquet_files(spark, str(tmp_path / "some")).first().rows == 1000
+    assert {(r.name, r.repetition) for r in readers.parquet_columns(spark, str(tmp_path / "some")).collect()} == {("id", "REQUIRED"), ("x.list.element", "REPEATED")}
+    assert [r.column for r in readers.file_columns(spark, [str(tmp_path / "some")]).orderBy("place").collect()] == ["id", "x"]
+
+
+def test_batch_reader(spark):
+    import pyarrow as pa
+
+    empty = readers.BatchReader(spark.range(0), 10)
+    schema, batches = readers.enriched(empty, lambda b: b)
+    assert schema.names == ["id"] and list(batches) == []
+    calls = []
+    schema, batches = readers.enriched(readers.BatchReader(spark.range(25), 10), lambda b: calls.append(b.num_rows) or pa.RecordBatch.from_pydict({"n": [b.num_rows]}))
+    assert schema.names == ["n"] and calls == [10]
+    assert [b.column(0)[0].as_py() for b in batches] == [10, 10, 5] and calls == [10, 10, 5]
+
+
+def test_csv_sniffing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k;name\n1;x,y\n2;z\nn/a;w\n")
+    got = readers.csv_infer(spark, str(tmp_path / "a.csv"))
+    assert got.dtypes == [("k", "string"), ("name", "string")] and got.count() == 3
+    (tmp_path / "b.csv").write_text("1,2.5\n2,3.5\n")
+    assert [t for _, t in readers.csv_infer(spark, str(tmp_path / "b.csv")).dtypes] == ["int", "double"]
+    (tmp_path / "c.csv").write_text("id,v\n1\n2,3,4\n3,\n4,\"x,y\"\n5,6\n")
+    good, bad = readers.csv_quarantine(spark, str(tmp_path / "c.csv"), StructType.fromDDL("id int, v int"))
+    assert sorted(values(good), key=str) == [(3, None), (5, 6)]
+    assert sorted(values(bad, "line", "column_name", "error_type")) == [(1, "v", "MISSING COLUMNS"), (2, None, "TOO MANY COLUMNS"), (4, "v", "CAST")]
+
+
+def test_database_rules(spark, tmp_path):
+    from tidewater.operators.database import Database, DefinitionError, Table
+
+    db = Database(spark, str(tmp_path / "db"))
+    with db.transaction() as work:
+        work.create("t", Table({"k": "int"}, primary_key=["k"]))
+    for fault in (lambda w: w.create("t", Table({"k": "int"})), lambda w: w.create_index("i", "t", ["z"]), lambda w: w.add_column("t", "k", "int"), lambda w: w.insert("t", spark.range(1))):
+        with pytest.raises(DefinitionError):
+            with db.transaction() as work:
+                fault(work)
+    with pytest.raises(warehouse.ConstraintError, match="k"):
+        with db.transaction() as work:
+            work.insert("t", spark.createDataFrame([(1,), (1,)], "k int"))
+    assert db.table("t").count() == 0 and db.version() == 1
+    work = db.begin()
+    work.insert("t", spark.createDataFrame([(5,)], "k int"))
+    assert db.table("t").count() == 0 and work.table("t").count() == 1
+    work.rollback()
+    with pytest.raises(RuntimeError):
+        work.commit()
+    assert not [p for p in (tmp_path / "db" / "t").glob("*/*.parquet")]
+
+
+def test_sessions_and_names(spark, sf):
+    other = spark.newSession()
+    a, b = Relation.parquet(spark, f"{sf}/nation.parquet"), Relation.parquet(other, f"{sf}/nation.parquet")
+    with pytest.raises(ValueError, match="different sessions"):
+        a.join(b, "n_nationkey")
+    a.register("some_nations")
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        a.register("some_nations", replace=False)
+    assert a.unregister("some_nations") and not a.unregister("some_nations")
+    with pytest.raises(ValueError):
+        warehouse.allowed("x; drop table y", ["x"])
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC" and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_bounded_writer(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(Exception):  # noqa: B017
+        writers.CountedWriter(spark, str(tmp_path / "file" / "under"))
+    sink = writers.CountedWriter(spark, str(tmp_path / "w"))
+    sink.add(spark.range(7))
+    assert sink.finish() == (str(tmp_path / "w"), 7)
+    for again in (sink.finish, lambda: sink.add(spark.range(1))):
+        with pytest.raises(RuntimeError):
+            again()
+
+
+def test_plan_reports(spark, sf, tmp_path):
+    import json
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    tree = profile.analyze(events.groupBy("event_type").count())
+    assert json.loads(json.dumps(tree)) and any("Scan" in n["operator"] for n in profile.nodes(tree)) and tree["estimated_bytes"] > 0
+    _, spill = profile.measured_spill(spark, lambda: events.repartition(3).count())
+    assert spill["shuffle_written"] > 0 and spill["disk_spilled"] == 0
+    assert profile.best_of(lambda: None) >= 0
+    rows = spark.range(10_000).select((F.col("id") * 617 % 1009).alias("v"), (F.col("id") % 4).alias("f"), "id")
+    assert writers.disorder(rows, "v", ["f", "id"]).first()[0] > 0.3 and writers.disorder(rows, "v", ["f", "v"]).first()[0] == 0.0
+    writers.ipc_bytes(spark.range(5), stream=True).write.parquet(str(tmp_path / "ipc"))
+    data = [bytes(r.content) for r in spark.read.parquet(str(tmp_path / "ipc")).collect()]
+    for i, d in enumerate(data):
+        (tmp_path / f"f{i}.arrow").write_bytes(d)
+    assert sorted(r.id for r in readers.arrow_ipc(spark, str(tmp_path / "*.arrow"), "id long").collect()) == list(range(5))

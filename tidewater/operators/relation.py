@@ -55,8 +55,31 @@ class Relation:
         finally:
             self.df.sparkSession.catalog.dropTempView(unique)
 
-    def register(self, name: str) -> None:
-        self.df.createOrReplaceTempView(name)
+    def register(self, name: str, replace: bool = True) -> None:
+        (self.df.createOrReplaceTempView if replace else self.df.createTempView)(name)
+
+    def unregister(self, name: str) -> bool:
+        """Takes the name away; whether it was there."""
+        return self.df.sparkSession.catalog.dropTempView(name)
+
+    def fetchall(self) -> list:
+        return self.df.collect()
+
+    def fetchone(self):
+        """The first row, or None."""
+        return self.df.first()
+
+    def to_pandas(self):
+        return self.df.toPandas()
+
+    def to_arrow(self):
+        return self.df.toArrow()
+
+    def to_batches(self, size: int = 10_000):
+        """A lazy reader of Arrow batches of ``size`` rows."""
+        from tidewater.sources.readers import BatchReader
+
+        return BatchReader(self.df, size)
 
     def explain(self) -> None:
         self.df.explain("formatted")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.scratch import written
+
 
 def pivot(df: DataFrame, rows: list[str], column: str, values: list, cell: Column, fill=None) -> DataFrame:
     """A pivot with given column values, so that no job looks for them and the schema is fixed."""
@@ -41,29 +43,57 @@ def resample_days(df: DataFrame, day: str, days: int, cell: Column, fill=0) -> D
     return bins.join(put.groupBy("bin").agg(cell.alias("value")), "bin", "left").na.fill(fill, ["value"])
 
 
+def found_values(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The column's distinct values in order, nulls aside; more than ``most`` are an error, since each becomes a column."""
+    values = [r[0] for r in df.select(column).distinct().filter(F.col(column).isNotNull()).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(values)
+
+
+def pivot_found(df: DataFrame, rows: list[str], column: str, cell: Column, fill=None) -> DataFrame:
+    """A pivot whose columns are the values that the data hold."""
+    return pivot(df, rows, column, found_values(df, column), cell, fill)
+
+
+def stack(df: DataFrame, rows: list[str], name: str, value: str) -> DataFrame:
+    """The columns other than ``rows`` back as (name, value) rows: what undoes a pivot."""
+    return df.unpivot(rows, [c for c in df.columns if c not in rows], name, value)
+
+
+def cross_section(df: DataFrame, **levels) -> DataFrame:
+    """The rows at the given values of key columns, without those columns."""
+    for name, value in levels.items():
+        df = df.filter(F.col(name) == F.lit(value))
+    return df.drop(*levels)
+
+
 def flatten_tree(edges: DataFrame, nodes: DataFrame, node: str = "id", parent: str = "parent_id", name: str = "name", sep: str = " > ", limit: int = 100) -> DataFrame:
     """(node, name, level, path, ancestors) of every node reachable from a root.
 
     ``edges`` has each node's parent, null for a root. Ancestors are ids, the node itself last, so that a subtree is
-    a test of membership and siblings with a common name prefix aren't mixed up. A recursive query; a cycle that
-    hangs on a root can't occur, and a cycle without a root is never reached. More than ``limit`` levels are an error.
+    a test of membership and siblings with a common name prefix aren't mixed up. Each round every node's chain takes on the
+    chain that its top has by then, so rounds are the logarithm of the depth. Nodes below a cycle or a parent that isn't
+    there reach no root and are left out. More than ``limit`` levels are an error.
     """
-    spark = edges.sparkSession
-    links = edges.select(F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("parent"))
     named = nodes.select(F.col(node).cast("long").alias("id"), F.col(name).alias("name"))
-    return spark.sql(
-        f"""
-        with recursive tree(id, name, level, path, ancestors) max recursion level {int(limit)} as (
-          select n.id, n.name, 0, cast(n.name as string), cast(n.id as string)
-          from {{named}} n join {{links}} l on n.id = l.id where l.parent is null
-          union all
-          select n.id, n.name, t.level + 1, concat(t.path, '{sep}', n.name), concat(t.ancestors, ',', n.id)
-          from tree t join {{links}} l on l.parent = t.id join {{named}} n on n.id = l.id)
-        select id, name, level, path, transform(split(ancestors, ','), x -> cast(x as bigint)) ancestors from tree
-        """,
-        named=named,
-        links=links,
-    )
+    links = edges.select(F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("up"))
+    chains = written(links.join(named, "id").select("id", "up", F.array("id").alias("ids"), F.array("name").alias("names")))
+    reach = 1
+    while not chains.filter("up is not null").isEmpty():
+        if reach > limit:
+            deep = chains.filter("up is not null and size(array_distinct(ids)) = size(ids)")
+            if not deep.isEmpty():
+                raise ValueError(f"the tree has more than {limit} levels")
+            break
+        above = chains.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("ids").alias("above"), F.col("names").alias("above_names"))
+        done, rest = chains.filter("up is null"), chains.filter("up is not null").join(above, "up")
+        chains = written(done.union(rest.select("id", F.col("next").alias("up"), F.concat("above", "ids").alias("ids"), F.concat("above_names", "names").alias("names"))))
+        reach *= 2
+    whole = chains.filter("up is null")
+    if not whole.filter(F.size("ids") > limit + 1).isEmpty():
+        raise ValueError(f"the tree has more than {limit} levels")
+    return whole.select("id", F.element_at("names", -1).alias("name"), (F.size("ids") - 1).alias("level"), F.array_join("names", sep).alias("path"), F.col("ids").alias("ancestors"))
 
 
 def subtree(tree: DataFrame, root: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -27,10 +28,58 @@ def filter_by(df: DataFrame, **wanted: Any) -> DataFrame:
     return df
 
 
+#: Distinct values that are put in order on the driver at most, and the precision of the brackets before.
+FEW, PRECISION = 100_000, 10_000
+
+
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact ``q`` quantile of the column's values, interpolated between the two nearest; null if there are none.
+
+    Approximate quantiles bracket it, and counts say what lies below; the bracket narrows, some thousand times a
+    pass, until few values are left. Only counts and those few reach the driver.
+    """
+    x = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n = x.count()
+    if not n:
+        return None
+    rank, below, low, high, left = (n - 1) * q, 0, None, None, n
+    while left > FEW:
+        at = [(math.floor(rank) - below) / left - 2 / PRECISION, (math.ceil(rank) - below + 1) / left + 2 / PRECISION]
+        a, b = x.agg(F.percentile_approx("v", [min(max(f, 0.0), 1.0) for f in at], PRECISION)).first()[0]
+        if (a, b) == (low, high):
+            break
+        low, high = a, b
+        more, left = x.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        below, x = below + more, x.filter(F.col("v").between(low, high))
+    values = [(r["v"], r["n"]) for r in x.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()]
+
+    def at_rank(k: int) -> float:
+        k -= below
+        for v, count in values:
+            if k < count:
+                return v
+            k -= count
+        return values[-1][0]
+
+    low, high = at_rank(math.floor(rank)), at_rank(math.ceil(rank))
+    return low + (high - low) * (rank - math.floor(rank))
+
+
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    """Nulls of ``column`` become its exact median: one aggregate row joined back, so nothing reaches the driver."""
-    middle = df.agg(F.median(column).alias("_median"))
-    return df.crossJoin(F.broadcast(middle)).withColumn(column, F.coalesce(column, "_median")).drop("_median")
+    """Nulls of ``column`` become its exact median, found in bounded memory."""
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(exact_quantile(df, column, 0.5)).cast(df.schema[column].dataType)))
+
+
+def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """SQL's NOT IN over the one column of ``values``: no rows if it holds a null, all rows if it is empty.
+
+    Two counts of the list, in one row, decide the null cases; the rest is an anti join on the key.
+    """
+    name = values.columns[0]
+    facts = values.agg(F.count("*").alias("_n"), F.count_if(F.col(name).isNull()).alias("_nulls"))
+    kept = df.crossJoin(F.broadcast(facts)).filter((F.col("_n") == 0) | (F.col("_nulls") == 0) & F.col(column).isNotNull()).drop("_n", "_nulls")
+    some = values.select(F.col(name).alias("_v")).filter("_v is not null").distinct()
+    return kept.join(some, F.col(column) == F.col("_v"), "left_anti")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+
+from tidewater.operators.scratch import numbered
 
 
 class ConstraintError(ValueError):
@@ -44,30 +45,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
 def assign_keys(rows: DataFrame, natural: list[str], high: int, key: str = "sk") -> tuple[DataFrame, int]:
     """``rows`` with dense keys from ``high`` + 1 on, in order of the natural key, and the new highest key.
 
-    Ranges are sorted apart and numbered by prefix sums of their sizes: no window spans all rows. The caller keeps
-    the highest key and hands it on, so keys never start over.
+    Rows are evaluated and range-partitioned once and numbered by offsets of partitions: no window spans all rows. The
+    caller keeps the highest key and hands it on, so keys never start over.
     """
-    spark = rows.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = [r for r in rows.select(F.xxhash64(*natural).alias("h")).agg(F.count("*").alias("n")).collect()]
-    total = bounds[0]["n"]
-    cut = rows.select(*natural).distinct().sample(min(1.0, 100.0 * n / max(total, 1)), seed=1).orderBy(*natural).limit(100 * n).collect()
-    step = max(1, len(cut) // n)
-    edges = [tuple(r) for r in cut[step::step]]
-    bucket = F.lit(0)
-    for e in edges:
-        above = F.lit(False)
-        equal = F.lit(True)
-        for name, value in zip(natural, e):
-            above = above | (equal & (F.col(name) >= F.lit(value) if name == natural[-1] else F.col(name) > F.lit(value)))
-            equal = equal & (F.col(name) == F.lit(value))
-        bucket = bucket + F.when(above, 1).otherwise(0)
-    put = rows.withColumn("_b", bucket)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = put.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy(*natural)
-    out = put.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), "_b")
-    return out.withColumn(key, (F.lit(high) + F.col("_o") + F.col("_r")).cast("long")).drop("_b", "_r", "_o"), high + total
+    out, total = numbered(rows, natural, "_row")
+    return out.withColumn(key, (F.col("_row") + (high + 1)).cast("long")).drop("_row"), high + total
 
 
 def missing(source: DataFrame, target: DataFrame, natural: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidewater.operators.scratch import numbered
+
 #: Upper ends of the first two spend tiers, and the tiers' names (fixed values).
 SILVER_AT, GOLD_AT = 500.0, 2000.0
 TIERS = ("bronze", "prata", "ouro")
@@ -38,12 +40,25 @@ def tier(total: Column, silver: float = SILVER_AT, gold: float = GOLD_AT) -> Col
 def running_spend(df: DataFrame, customer: str, amount: str, order: list[str], silver: float = SILVER_AT, gold: float = GOLD_AT) -> DataFrame:
     """``df`` with ``cumulative_spend`` and ``customer_tier`` by customer in ``order``.
 
-    A row without customer or amount gets nulls and doesn't add to the total. One exchange by customer.
+    A row without customer or amount gets nulls and doesn't add to the total; it goes round the window, so rows without
+    customer, however many, don't meet in one task. One exchange by customer.
     """
     w = Window.partitionBy(customer).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     known = F.col(customer).isNotNull() & F.col(amount).isNotNull()
-    total = F.when(known, F.sum(amount).over(w))
-    return df.withColumn("cumulative_spend", total).withColumn("customer_tier", tier(F.col("cumulative_spend"), silver, gold))
+    summed = df.filter(known).withColumn("cumulative_spend", F.sum(amount).over(w))
+    rest = df.filter(~known).withColumn("cumulative_spend", F.lit(None).cast(summed.schema["cumulative_spend"].dataType))
+    return summed.unionByName(rest).withColumn("customer_tier", tier(F.col("cumulative_spend"), silver, gold))
+
+
+def place(df: DataFrame, keys: list[str], order: list[Column], into: str = "place") -> DataFrame:
+    """``df`` with each row's number from 1 within its keys, for keys that are few and groups that are large.
+
+    All rows are numbered in the order of keys, then ``order``; a group's first number is taken off. No task holds a group.
+    """
+    rows, _ = numbered(df, [*[F.col(k) for k in keys], *order], "_row")
+    first = rows.groupBy(*keys).agg(F.min("_row").alias("_first")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(first, same).withColumn(into, F.col("_row") - F.col("_first") + 1).drop("_row", "_first", *[f"_k{i}" for i in range(len(keys))])
 
 
 def max_running_balance(df: DataFrame, account: str, amount: str, order: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["shape", "joins", "aggregates", "windows", "reshape", "scalars", "kernels", "storage"]
+MODULES = ["shape", "joins", "aggregates", "windows", "reshape", "scalars", "kernels", "storage", "files", "catalogs", "extensions"]
 _found: dict[str, tuple[Callable, str | None]] = {}
 
 

@@ -82,7 +82,21 @@ PIVOT = ", ".join(f"round(sum(o_totalprice) filter (where o_orderstatus = '{s}')
 
 @query(f"select cast(month(o_orderdate) as bigint) as m, {PIVOT} from orders group by 1")
 def pivot_dynamic(t):
-    return reshape.pivot(t.orders.withColumn("m", F.month("o_orderdate").cast("long")), ["m"], "o_orderstatus", STATUS, F.round(F.sum("o_totalprice"), 2))
+    """The columns are the values that the data hold."""
+    return reshape.pivot_found(t.orders.withColumn("m", F.month("o_orderdate").cast("long")), ["m"], "o_orderstatus", F.round(F.sum("o_totalprice"), 2))
+
+
+@query("select o_orderpriority, s as status, count(o_orderkey) as n from (select distinct o_orderpriority from orders) cross join (select distinct o_orderstatus as s from orders) left join orders using (o_orderpriority) where o_orderstatus = s group by 1, 2")
+def stack_back(t):
+    wide = reshape.pivot_found(t.orders, ["o_orderpriority"], "o_orderstatus", F.count(F.lit(1)), fill=0)
+    return reshape.stack(wide, ["o_orderpriority"], "status", "n").filter("n > 0")
+
+
+@query("select o_orderpriority, count(*) as n from orders where o_orderstatus = 'F' and month(o_orderdate) = 3 group by 1")
+def index_cross_section(t):
+    """Rows of a grouped table by some of its key columns; the key columns are the index."""
+    grouped = t.orders.groupBy("o_orderstatus", F.month("o_orderdate").alias("m"), "o_orderpriority").agg(F.count("*").alias("n"))
+    return reshape.cross_section(grouped, o_orderstatus="F", m=3)
 
 
 @query("select o_orderpriority, " + ", ".join(f"round(avg(o_totalprice) filter (where o_orderstatus = '{s}'), 2) as \"{s}\"" for s in STATUS) + " from orders group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import shape
+from tidewater.operators.scratch import numbered
 from tidewater.plans.registry import query
 
 
@@ -88,9 +89,20 @@ def filter_conditional_build(t):
     return shape.filter_by(t.events, event_type="purchase", user_id=7, value=None).select("event_id", "user_id")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
 def not_in_subquery(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return shape.not_in(t.customer, "c_custkey", t.orders.select("o_custkey")).select("c_custkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select case when o_orderkey % 100 <> 0 then o_custkey end from orders)")
+def not_in_with_null(t):
+    return shape.not_in(t.customer, "c_custkey", t.orders.select(F.when(F.col("o_orderkey") % 100 != 0, F.col("o_custkey")))).select("c_custkey")
+
+
+@query("select c_custkey from customer where case when c_custkey % 2 = 0 then c_custkey end not in (select o_custkey from orders where o_orderkey < 0)")
+def not_in_empty(t):
+    even = t.customer.withColumn("k", F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")))
+    return shape.not_in(even, "k", t.orders.filter("o_orderkey < 0").select("o_custkey")).select("c_custkey")
 
 
 @query("select p_partkey from part p where not exists (select 1 from lineitem l where l.l_partkey = p.p_partkey and l.l_quantity > 45)")
@@ -171,9 +183,11 @@ def scan_parquet(t):
     return t.lineitem.agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@query()
+@query("select p_partkey, row_number() over (order by (p_partkey * 7919 + 42) % 1000003, p_partkey) - 1 as place from part")
 def take_permutation(t):
-    return t.part.orderBy(F.rand(42)).select("p_partkey")
+    """A seeded permutation that depends on the keys alone, numbered by ranges."""
+    rows, _ = numbered(t.part.select("p_partkey"), [(F.col("p_partkey") * 7919 + 42) % 1000003, F.col("p_partkey")], "place")
+    return rows.select("p_partkey", "place")
 
 
 @query()
@@ -186,6 +200,6 @@ def sample_block(t):
     return t.spark.sql("select * from {o} tablesample (1 percent) repeatable (42)", o=t.orders)
 
 
-@query()
+@query("select column_name, lower(case column_type when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' when 'INTEGER' then 'int' else column_type end) as column_type, \"null\" = 'YES' as nullable from (describe orders)")
 def describe_schema(t):
     return t.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in t.orders.schema], "column_name string, column_type string, nullable boolean")

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewater.operators import warehouse
+from tidewater.operators import scratch, warehouse
 from tidewater.plans.registry import query
 from tidewater.sources import readers, writers
 
 
 def folder(t) -> str:
-    """A fresh folder under the cluster's shared one; on a local master, under the machine's temporary folder."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tidewater-{uuid.uuid4().hex}"
+    return scratch.folder(t.spark)
 
 
 @query("select p_name, row_number() over (order by p_name) + 1000 as sk from (select distinct p_name from part)")
@@ -96,20 +92,20 @@ def scan_union_by_name(t):
     return readers.union_by_name(t.spark, [f"{path}/a", f"{path}/b"])
 
 
-@query("select 'b: extra column note' as message union all select 'b: id is bigint, not int'")
+@query("select 'b' as part, 'note' as \"column\", null::varchar as wanted, 'string' as found union all select 'b', 'id', 'int', 'bigint' union all select 'c', 'id', 'int', null")
 def schema_drift(t):
     path = folder(t)
-    t.region.select(F.col("r_regionkey").cast("int").alias("id")).write.parquet(f"{path}/a")
-    t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("x").alias("note")).write.parquet(f"{path}/b")
-    return t.spark.createDataFrame([(m,) for m in readers.schema_drift(t.spark, [f"{path}/a", f"{path}/b"])], "message string")
+    t.region.coalesce(1).select(F.col("r_regionkey").cast("int").alias("id")).write.parquet(f"{path}/a")
+    t.nation.coalesce(1).select(F.col("n_nationkey").cast("long").alias("id"), F.lit("x").alias("note")).write.parquet(f"{path}/b")
+    t.region.coalesce(1).select(F.lit(1).alias("other")).write.parquet(f"{path}/c")
+    out = readers.drift(t.spark, [f"{path}/a", f"{path}/b", f"{path}/c"], StructType.fromDDL("id int")).filter("column != 'other'")
+    return out.select(F.element_at(F.split("path", "/"), -2).alias("part"), "column", "wanted", "found")
 
 
 def dirty(t):
     path = folder(t)
     amount = F.when(F.col("o_orderkey") % 10 == 0, "abc").otherwise(F.col("o_totalprice").cast("string"))
     t.orders.select("o_orderkey", amount.alias("amount")).write.option("header", True).csv(path)
-    from pyspark.sql.types import StructType
-
     return readers.csv_quarantine(t.spark, path, StructType.fromDDL("o_orderkey long, amount double"))
 
 
@@ -118,9 +114,27 @@ def csv_good_rows(t):
     return dirty(t)[0]
 
 
-@query("select 'amount' as column_name, 'abc' as value, o_orderkey || ',abc' as csv_line from orders where o_orderkey % 10 = 0")
+@query("select 'amount' as column_name, 'CAST' as error_type, 'abc' as value, o_orderkey || ',abc' as csv_line from orders where o_orderkey % 10 = 0")
 def csv_rejects(t):
-    return dirty(t)[1].select("column_name", "value", "csv_line")
+    return dirty(t)[1].select("column_name", "error_type", "value", "csv_line")
+
+
+def ragged(t):
+    path, k = folder(t), F.col("o_orderkey")
+    line = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(",1.5,more"))).otherwise(F.concat(k.cast("string"), F.lit(",2.5")))
+    t.orders.select(line).write.text(path)
+    return readers.csv_quarantine(t.spark, path, StructType.fromDDL("k long, amount double"), header=False)
+
+
+@query("select o_orderkey as k, 2.5::double as amount from orders where o_orderkey % 3 = 2")
+def csv_ragged_good(t):
+    return ragged(t)[0]
+
+
+@query("""select o_orderkey::varchar as csv_line, 'amount' as column_name, 'MISSING COLUMNS' as error_type from orders where o_orderkey % 3 = 0
+union all select o_orderkey || ',1.5,more', null, 'TOO MANY COLUMNS' from orders where o_orderkey % 3 = 1""")
+def csv_ragged_rejects(t):
+    return ragged(t)[1].select("csv_line", "column_name", "error_type")
 
 
 @query("select 'l_orderkey' as \"column\", count(*) as rows from lineitem")
@@ -128,9 +142,29 @@ def parquet_footer_rows(t):
     return readers.parquet_footers(t.spark, f"{t.folder}/lineitem.parquet").filter("column = 'l_orderkey'").groupBy("column").agg(F.sum("rows").alias("rows"))
 
 
-@query()
+#: The SQL of these queries names the files themselves; views don't have footers.
+FILES = "/root/testdata/sf0.01"
+
+
+@query(f"""select row_group_id::int as row_group, row_group_num_rows as rows, path_in_schema as "column", type as physical, compression, total_compressed_size as compressed,
+total_uncompressed_size as uncompressed, stats_null_count as nulls from parquet_metadata('{FILES}/orders.parquet')""")
 def parquet_footers(t):
-    return readers.parquet_footers(t.spark, f"{t.folder}/orders.parquet").drop("key_values")
+    return readers.parquet_footers(t.spark, f"{t.folder}/orders.parquet").select("row_group", "rows", "column", "physical", "compression", "compressed", "uncompressed", "nulls")
+
+
+@query(f"select num_rows as rows, num_row_groups as row_groups, created_by, file_size_bytes::bigint as file_size, footer_size::bigint as footer_size from parquet_file_metadata('{FILES}/lineitem.parquet')")
+def parquet_file_metadata(t):
+    return readers.parquet_files(t.spark, f"{t.folder}/lineitem.parquet").select("rows", "row_groups", "created_by", "file_size", "footer_size")
+
+
+@query(f"select decode(key) as key, octet_length(value) as length from parquet_kv_metadata('{FILES}/orders.parquet')")
+def parquet_kv_metadata(t):
+    return readers.parquet_key_values(t.spark, f"{t.folder}/orders.parquet").select("key", F.octet_length("value").cast("long").alias("length"))
+
+
+@query(f"select name, type as physical, repetition_type as repetition from parquet_schema('{FILES}/documents.parquet') where type is not null")
+def parquet_schema(t):
+    return readers.parquet_columns(t.spark, f"{t.folder}/documents.parquet").select("name", "physical", "repetition")
 
 
 @query("select count(*) as n from orders where o_custkey < 100")

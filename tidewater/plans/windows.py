@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidewater.operators import windows
@@ -76,7 +77,18 @@ def win_last_value_full(t):
 @query("select l_returnflag, p_partkey, row_number() over (partition by l_returnflag order by total desc, p_partkey) as place from (select l_returnflag, l_partkey as p_partkey, sum(l_quantity) as total from lineitem group by 1, 2)")
 def win_rank_unique(t):
     total = t.lineitem.groupBy("l_returnflag", F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("total"))
-    return total.select("l_returnflag", "p_partkey", F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("total"), "p_partkey")).cast("long").alias("place"))
+    return windows.place(total, ["l_returnflag"], [F.desc("total"), F.col("p_partkey")]).select("l_returnflag", "p_partkey", "place")
+
+
+@query("select true as rejected")
+def win_over_group_error(t):
+    """Grouping by a window's result at the level that computes it is refused when the query is analysed."""
+    t.orders.createOrReplaceTempView("grouped_orders")
+    try:
+        t.spark.sql("select row_number() over (order by o_orderkey) as r, count(*) from grouped_orders group by r")
+    except AnalysisException:
+        return t.spark.range(1).select(F.lit(True).alias("rejected"))
+    return t.spark.range(1).select(F.lit(False).alias("rejected"))
 
 
 @query("with d as (select cast(ts as date) as day, count(*) as n from events group by 1) select day, sum(n) over (order by day rows unbounded preceding)::bigint as upto from d")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +29,15 @@ def session(name: str = "tidewater", master: str | None = None, **conf: str) ->
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters on which it isn't installed; Spark itself distributes the file."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "tidewater.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    out.write(os.path.join(folder, n), os.path.join("tidewater", os.path.relpath(os.path.join(folder, n), root)))
+    spark.sparkContext.addPyFile(path)

@@ -90,3 +90,33 @@ def ipc_bytes(df: DataFrame, stream: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["content"])
 
     return df.mapInArrow(run, "content binary")
+
+
+class CountedWriter:
+    """Writes frames under one folder as they come and tells at the end where, and how many rows.
+
+    Rows are counted by the write itself (an observed metric). A folder that can't be made is an error at once; ending twice
+    or writing after the end is one too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, max_records: int = 0):
+        self.spark, self.path, self.max_records, self.rows, self.ended = spark, path.rstrip("/"), max_records, 0, False
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at):
+            raise OSError(f"can't make {self.path}")
+
+    def add(self, df: DataFrame) -> None:
+        from pyspark.sql import Observation
+
+        if self.ended:
+            raise RuntimeError("the writer has ended")
+        seen = Observation()
+        out = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
+        (out.option("maxRecordsPerFile", self.max_records) if self.max_records else out).parquet(self.path)
+        self.rows += seen.get["rows"]
+
+    def finish(self) -> tuple[str, int]:
+        if self.ended:
+            raise RuntimeError("the writer has ended")
+        self.ended = True
+        return self.path, self.rows

@@ -53,3 +53,14 @@ def running_spend(stream: DataFrame) -> DataFrame:
     """(user_id, event_id, cumulative_spend, customer_tier); needs the RocksDB state store."""
     out = StructType([StructField("user_id", LongType()), StructField("event_id", LongType()), StructField("cumulative_spend", DoubleType()), StructField("customer_tier", StringType())])
     return stream.groupBy("user_id").transformWithStateInPandas(RunningSpend(), outputStructType=out, outputMode="append", timeMode="none")
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all input that is there, batch after batch, kept in ``path``; in complete mode the last state."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
