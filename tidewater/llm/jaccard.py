@@ -347,14 +347,16 @@ def crowded(many: DataFrame) -> DataFrame:
     Crowded buckets that hold the same classes over and over are put together into one group, so that its members meet
     once, where that takes fewer rows than a group for each bucket.
     """
-    group = written(components(many.select("key", "class").distinct(), "key", "class")).select(F.col("node").alias("class"), F.col("component").alias("id"))
-    placed = many.join(group, "class")
-    whole = placed.select("id", "node", "class").distinct()
-    apart = placed.groupBy("id").agg(F.sum(blocks_of("rows")).alias("apart"))
+    group = written(components(many.select("key", "class").distinct(), "key", "class"))
+    of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias("id"))
+    whole = written(many.select("node", "class").distinct().join(of("class"), "class"))
+    keys = many.groupBy("key").agg(F.max("rows").alias("rows")).join(of("key"), "key")
+    apart = keys.groupBy("id").agg(F.sum(F.col("rows") * blocks_of("rows")).alias("apart"))
     counts = whole.groupBy("id").agg(F.count("*").alias("rows")).join(apart, "id").withColumn("together", F.col("rows") * blocks_of("rows") <= F.col("apart"))
     counts = written(counts)
     met = whole.join(counts.filter("together").select("id", "rows"), "id").select("id", "node", "class", "rows")
-    single = placed.join(counts.filter("not together").select("id"), "id", "left_semi").select(F.col("key").alias("id"), "node", "class", "rows")
+    single = keys.join(counts.filter("not together").select("id"), "id", "left_semi").select("key")
+    single = many.join(single, "key", "left_semi").select(F.col("key").alias("id"), "node", "class", "rows")
     met = met.union(single).withColumn("block", F.pmod(F.xxhash64("node", "id"), blocks_of("rows"))).withColumn("other", upto(blocks_of("rows")))
     met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     sides = F.when(F.col("block") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") > F.col("other")).cast("int")))
@@ -378,7 +380,7 @@ def remaining(first: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     two = written(two.select(F.col("p.big.class").alias("id"), F.col("p.big.size").alias("size"), F.col("p.small.class").alias("class")).distinct())
 
     members = first.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("class"))
-    small = two.select("id", "size", "class").join(members, "class")
+    small = written(two.select("id", "size", "class").join(members, "class"))
     count = small.groupBy("id").agg(F.count("*").alias("smalls"))
     small = small.join(count, "id").withColumn("j", F.pmod(F.xxhash64("node"), blocks_of("smalls"))).withColumn("i", upto(blocks_of("size")))
     big = two.groupBy("id").agg(F.max("size").alias("size")).join(count, "id").join(members.withColumnRenamed("class", "id"), "id")
