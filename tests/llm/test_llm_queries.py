@@ -502,3 +502,99 @@ def test_automaton_accepts_what_merges_make():
                     parts[i : i + 2] = [x + y]
                 i += 1
         assert [machine.labels[i] for i in machine.word(word)] == parts
+
+
+#: Names that the operators use inside, as a caller's columns.
+CLASH = ["row", "place", "shard", "slot", "size", "_n", "_first", "_shift", "_part", "node", "key", "h", "n", "oid", "tie", "f", "t", "b", "rid", "m_source", "_text", "_tie", "deal", "extra_1", "ids", "score", "vec_id2", "dim"]
+VOCAB = {"op8": "word_bpe_49k.json", "op10": "byte_bpe_50k.json"}
+
+
+def results(name, docs, labels=None):
+    """The query's rows for a table of documents, whatever else it holds."""
+    out = {
+        "op1": lambda: sharding.shard_documents(docs),
+        "op2": lambda: mixing.mix(docs, [3, 1, 2], 1.5),
+        "op3": lambda: toxicity.score_documents(docs, labels),
+        "op5": lambda: suffix_dedup.dedup_documents(docs),
+        "op6": lambda: secrets.scan_documents(docs),
+        "op7": lambda: minhash.fingerprint_documents(docs),
+        "op8": lambda: wavelet.encode_documents(docs, queries.vocabulary(VOCAB["op8"])),
+        "op9": lambda: jaccard.join_documents(docs),
+        "op10": lambda: bpe.encode_documents(docs, queries.vocabulary(VOCAB["op10"])),
+    }[name]()
+    return sorted(map(tuple, out.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_other_columns_change_nothing(name, spark, docs, sf):
+    some = docs.filter("doc_id < 40 or doc_id >= 1000").repartition(2).cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    clash = some.withColumns({c: F.lit("x") for c in CLASH})
+    assert results(name, clash, labels.withColumns({c: F.lit("x") for c in CLASH})) == results(name, some, labels)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_null_ids_and_repeated_rows(name, spark, docs, texts, sf):
+    """Each row of nulled() comes out once, with what its text gives; equal rows give equal facts of the text."""
+    got = [r for r in results(name, nulled(docs), spark.read.parquet(f"{sf}/labels.parquet"))]
+    assert Counter(r[0] for r in got) == Counter([0, 1, 2, 3, 4, 5] * 2 + [None] * 6)
+    facts = {
+        "op1": lambda r: r[1:3], "op2": lambda r: r[1:2], "op3": lambda r: r[2:4], "op5": lambda r: r[1:2], "op6": lambda r: r[1:6], "op7": lambda r: (r[1], r[3]),
+        "op8": lambda r: r[2:4], "op9": lambda r: r[1:2], "op10": lambda r: r[1:4],
+    }[name]
+    each = {d: facts(next(r for r in results(name, docs.filter("doc_id < 6"), spark.read.parquet(f"{sf}/labels.parquet")) if r[0] == d)) for d in range(6)} if name != "op3" else None
+    if each:
+        assert Counter(map(facts, got)) == Counter([f for f in each.values()] * 3)
+    if name == "op1":
+        slots = defaultdict(list)
+        for r in got:
+            slots[r[4]].append(r[5])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if name == "op3":
+        assert len({(r[2], r[3]) for r in got}) <= 6 and not any(r[1] for r in got if r[0] is None)
+    if name == "op5":  # of three equal texts the first in order, one without an id, stays
+        long = [r for r in got if r[1] >= 100]
+        assert sum(r[2] == r[1] for r in long if r[0] is not None) == sum(r[0] is not None for r in long)
+    if name == "op8":
+        at = 0
+        for start, n in sorted((r[1], r[2]) for r in got):
+            assert start == at
+            at += n
+    if name == "op9":
+        assert all(r[2] is not None and r[2] in range(6) for r in got if r[1])
+
+
+def test_toxicity_without_labels(spark, docs, sf):
+    none = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
+    assert toxicity.drop_toxic(docs, none).count() == docs.count()
+    assert {r.predicted for r in toxicity.score_documents(docs, none).collect()} == {0}
+
+
+def test_vectors_with_other_columns(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    clash = rows.withColumns({c: F.lit("x") for c in [*CLASH, "v", "rank", "query_id"]})
+    assert sorted(map(tuple, ann.search(clash, 50, 5).collect())) == sorted(map(tuple, ann.search(rows, 50, 5).collect()))
+
+
+def test_near_copies_at_production_parameters(spark, sf):
+    """Five words and 0.8 over a thousand documents, against shared shingles counted one by one."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard.near_classes(docs, 5, 80).collect()}
+    assert got == classes(texts, 5, 80)
+
+
+def test_sketches_bound_the_difference():
+    """The Hamming distance of two bit sketches, folded to one length, is at most the sets' symmetric difference."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        both = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.uint64)])) for _ in "ab")
+        data, sizes = jaccard.bit_sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        x, y = data[: sizes[0]].tobytes(), data[sizes[0] :].tobytes()
+        width = min(len(x), len(y))
+        far = (jaccard.folded(x, width) ^ jaccard.folded(y, width)).bit_count()
+        assert far <= len(np.setxor1d(a, b))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            assert jaccard.may_link(len(a), x, len(b), y, 80) and jaccard.link(len(a), a.tobytes(), len(b), b.tobytes(), 80)
