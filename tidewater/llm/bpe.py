@@ -15,6 +15,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import common
+from tidewater.llm.common import tidied
+
 #: How byte-level vocabularies split text before their merges.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a Python worker keeps at once; when full, it starts over.
@@ -216,6 +219,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = automaton(path)
+        common.KEPT["bpe"] = automaton.cache_clear
         digits = [str(i) for i in range(len(machine.labels))]
         for batch in batches:
             made = []
@@ -232,4 +236,4 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
                 frame[name] = [m[at] for m in made]
             yield frame
 
-    return source.mapInPandas(run, out + ", ids binary" * with_ids)
+    return source.mapInPandas(tidied(run, "bpe"), out + ", ids binary" * with_ids)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -58,6 +60,35 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy() -> None:
+    """Gives memory that is free in this process back to the system: a worker that waits for its next task, or the driver, holds none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: What operators keep in a Python worker from task to task, by operator: how to let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidied(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """``run``, a task's function of batches, with ``tidy`` at its end.
+
+    Workers serve any operator's tasks; what others than ``keeps`` have kept in this one goes first.
+    """
+
+    def tidy_run(batches: Iterator) -> Iterator:
+        for operator in [k for k in KEPT if k != keeps]:
+            KEPT.pop(operator)()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidy_run
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever its columns are called."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewater.llm import shingles
-from tidewater.llm.common import discard, plainly, written
+from tidewater.llm.common import discard, plainly, tidied, written
 from tidewater.llm.graph import components
 
 #: Bytes of text that a Python worker hashes at once.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Rows up to which a side is broadcast.
 SMALL = 500_000
 #: Sketch blocks for each element by which linked sets can differ, and one.
-SPARE = 2
+SPARE = 1.5
 #: Sketches of a side of a cell, about; members that a hub meets in a task; classes of a bucket that are paired directly.
-BLOCK, HOT, FEW = 512, 2_000, 32
+BLOCK, HOT, FEW = 512, 500, 32
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -67,7 +67,7 @@ def sketch_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none.astype(bool), none
     prefix = bands.apart[band] + 1
-    blocks = SPARE * prefix
+    blocks = np.floor(SPARE * prefix).astype(np.int64)
     base = np.cumsum(blocks) - blocks
     ends = np.cumsum(n)
     size = n[member]
@@ -189,7 +189,7 @@ def sketches(texts: DataFrame, k: int, percent: int) -> DataFrame:
                 yield part(node[start:stop], data[start:stop])
 
     ddl = "node long, n_shingles long, sketch binary, slack0 long, slack1 long, keys0 array<long>, keys1 array<long>, shared array<struct<key: long, members: array<long>>>"
-    return texts.select("node", "text").mapInArrow(run, ddl)
+    return texts.select("node", "text").mapInArrow(tidied(run), ddl)
 
 
 def buckets(made: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
                 h, n = shingles.sets(data[start:stop], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(n.astype(np.int64)), binaries(h.view(np.uint8), n * 8)], names=["node", "n", "payload"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, payload binary")
+    return texts.select("node", "text").mapInArrow(tidied(run), "node long, n long, payload binary")
 
 
 def folded(x: bytes, size: int) -> int:
@@ -284,7 +284,7 @@ def meet(pairs: DataFrame, table: DataFrame, test: Callable[..., bool], percent:
     each = pairs.join(table, F.col("a") == F.col("node")).select("b", "cell", "a", "n", "payload")
     hubs = pairs.select("b", "cell").distinct().join(table, F.col("b") == F.col("node")).select("b", "cell", F.lit(None).cast("long").alias("a"), "n", "payload")
     dealt = each.union(hubs).repartition("b", "cell").sortWithinPartitions("b", "cell", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def across(cells: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +330,7 @@ def across(cells: DataFrame, percent: int) -> DataFrame:
 
     place = ["kind", "id", "i", "j"]
     dealt = cells.select(*place, "side", "node", "class", "n", "payload").repartition(*place).sortWithinPartitions(*place)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def blocks_of(n: str) -> F.Column:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import plainly, written
+from tidewater.llm.common import plainly, tidied, tidy, written
 
 #: Lengths of n-grams, in characters, and the bits of a feature number.
 LENGTHS, BITS = (3, 4, 5, 6), 20
@@ -121,7 +121,7 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
             part = some[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[1, part]), pa.array(sums[0, part])], names=["f", "p", "q"])
 
-    counted = train.mapInArrow(count, "f int, p int, q int").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counted = train.mapInArrow(tidied(count), "f int, p int, q int").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     ratio = F.log(((F.col("p") + 1) / (n1 + 2)) / ((F.col("q") + 1) / (n0 + 2)))
     sure = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
     best = counted.filter(F.col("p") + F.col("q") >= LEAST_DOCS).select("f", ratio.alias("r"), sure.alias("s")).filter(F.col("s") > SURE)
@@ -141,7 +141,7 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
                 found = pa.array([np.sort(x).tobytes() for x in np.split(f.astype("<i4"), cuts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), found], names=["toxic", "f"])
 
-    sample = train.mapInArrow(encode, "toxic int, f binary").groupBy("toxic", "f").count().toArrow()
+    sample = train.mapInArrow(tidied(encode), "toxic int, f binary").groupBy("toxic", "f").count().toArrow()
     sample = sample.sort_by([("toxic", "ascending"), ("f", "ascending")])
     cuts = np.concatenate([[0], np.cumsum(pc.binary_length(sample["f"]).to_numpy().astype(np.int64) // 4)])
     place = np.zeros(1 << BITS, np.int32)
@@ -154,6 +154,8 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     del sample
     w, b = logistic(cuts, col, ratios, y, times)
     weights[kept] = w * ratios
+    del col, y, times, cuts
+    tidy()
     return weights, b
 
 
@@ -234,7 +236,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str]) ->
                 yield pa.RecordBatch.from_arrays([*head, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{types}, score double, predicted int")
+    return source.mapInArrow(tidied(run), f"{types}, score double, predicted int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import byte_names
-from tidewater.llm.common import partitions, shared_dir
+from tidewater.llm import common
+from tidewater.llm.common import partitions, shared_dir, tidied, written
 
 MAGIC = b"TWWM1\n"
 #: Bits between two entries of a plane's rank directory.
@@ -234,6 +235,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        common.KEPT["wavelet"] = encoder.cache_clear
         names: list[int | None] = []
         lengths, blocks, held = [], [], 0
 
@@ -257,17 +259,20 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
         if names:
             yield flush()
 
-    return source.mapInArrow(run, "file string, ids long")
+    return source.mapInArrow(tidied(run, "wavelet"), "file string, ids long")
 
 
 def read_shards(folder: str, files: DataFrame) -> DataFrame:
     """Each document's first place among all ids, id count and checksum, from the files in ``folder``.
 
-    ``files`` (file, ids) gives the files that count and their order by name; prefix sums over them place a file.
+    ``files`` (file, ids) gives the files that count and their order by name. Prefix sums place a file: over the totals of
+    the partitions that wrote them, one row each, and inside each partition.
     """
-    spark = files.sparkSession
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ahead"))
+    cut = files.withColumn("part", F.substring_index("file", "-", 1))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("part").agg(F.sum("ids").alias("all")).select("part", F.coalesce(F.sum("all").over(upto(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("ids").over(upto(Window.partitionBy("part").orderBy("file"))), F.lit(0))
+    starts = cut.withColumn("inside", inside).join(F.broadcast(parts), "part").select("file", (F.col("before") + F.col("inside")).alias("ahead"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,7 +283,7 @@ def read_shards(folder: str, files: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip((stops - lengths).tolist(), stops.tolist())]
                 yield pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "start": stops - lengths + ahead, "n_tokens": lengths, "ids_crc32": sums})
 
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.twwm").load(folder)
+    content = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.twwm").load(folder)
     named = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     placed = named.join(F.broadcast(starts) if files.count() <= 100_000 else starts, "file")
     return placed.select("content", "ahead").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -291,8 +296,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/ids"
-    files = write_shards(docs, path, folder, end_id)
-    listed = spark.createDataFrame([tuple(r) for r in files.collect()], "file string, ids long")
-    if listed.isEmpty():
+    files = written(write_shards(docs, path, folder, end_id))
+    if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_shards(folder, listed)
+    return read_shards(folder, files)
