@@ -103,3 +103,36 @@ def stream_tumbling(t):
 @query("select event_id, tier from (select event_id, case when total < 500 then 'bronze' when total < 2000 then 'prata' else 'ouro' end as tier from (select event_id, sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding) as total from events))")
 def batch_tiers(t):
     return windows.running_spend(t.events, "user_id", "value", ["ts", "event_id"]).select("event_id", F.col("customer_tier").alias("tier"))
+
+
+@query("select s_suppkey, n_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def join_arrow_chain(t):
+    """Small tables that are Arrow tables on the driver, joined one after another to a distributed one."""
+    nations, regions = (t.spark.createDataFrame(x.toArrow()) for x in (t.nation, t.region))
+    out = t.supplier.join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    return out.select("s_suppkey", "n_name", "r_name")
+
+
+def scanned(df) -> dict:
+    """What the scan of a query did."""
+    return next(n["metrics"] for n in profile.nodes(profile.analyze(df)) if n["operator"].startswith("Scan"))
+
+
+@query("select count(distinct month(o_orderdate)) as partitions, count(distinct month(o_orderdate)) as files from orders where o_orderstatus = 'F' and month(o_orderdate) < 4")
+def partition_pruning(t):
+    """Folders and files that a filtered scan read, by its own metrics: only those that the filter names."""
+    path = folder(t)
+    t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.month("o_orderdate").alias("month")).repartition("status", "month").write.partitionBy("status", "month").parquet(path)
+    did = scanned(t.spark.read.parquet(path).filter("status = 'F' and month < 4"))
+    return t.spark.createDataFrame([(did["number of partitions read"], did["number of files read"])], "partitions long, files long")
+
+
+@query("select * from (values ('bloom', false), ('plain', true)) v(layout, reads_rows)")
+def bloom_filter_skips(t):
+    """A key between the least and the largest that no row has: only the Bloom filter can tell that a group lacks it."""
+    found = []
+    for layout, bloom in (("bloom", {"k": 5000}), ("plain", None)):
+        path = folder(t)
+        writers.write_sorted(t.spark.range(4000).select((F.col("id") * 2).alias("k")), path, ["k"], 1, 4000, bloom=bloom)
+        found.append((layout, scanned(t.spark.read.parquet(path).filter("k = 4001"))["number of output rows"] > 0))
+    return t.spark.createDataFrame(found, "layout string, reads_rows boolean")
