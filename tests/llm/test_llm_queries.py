@@ -340,6 +340,29 @@ def test_suffix_dedup(docs, texts):
     assert len(twice) == 18 and sum(r.n_removed == r.n_bytes for r in twice) >= 12 and {r.n_bytes for r in twice} == whole
 
 
+def test_suffix_dedup_of_crowded_anchors(spark, monkeypatch):
+    """A line in hundreds of different surroundings, some of them equal over a window or more; with anchors of any size crowded."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    line, around = " ".join(word(7) for _ in range(8)), [word(60) for _ in range(12)]
+    texts = [f"{word(30)}{around[rng.integers(12)]} {line} {around[rng.integers(12)]}{word(rng.integers(0, 90))}" for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = suffix_dedup.brute_force([(d, t.encode()) for d, t in enumerate(texts)])
+    for crowd in (4_000_000, 3_000, 0):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_documents(docs).collect()} == want
+
+
+def test_intervals():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        oid, start = rng.integers(0, 4, 12), rng.integers(0, 60, 12)
+        stop = start + rng.integers(1, 15, 12)
+        got = list(zip(*(x.tolist() for x in suffix_dedup.intervals(oid, start, stop))))
+        covered = {(o, i) for o, a, b in zip(oid, start, stop) for i in range(a, b)}
+        assert {(o, i) for o, a, b in got for i in range(a, b)} == covered and all(not ({(o, a - 1), (o, b)} & covered) for o, a, b in got)
+
+
 def spans_by_re(text):
     out = []
     for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

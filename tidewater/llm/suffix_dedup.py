@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import anchors, induced
-from tidewater.llm.common import numbered, written
+from tidewater.llm.common import discard, numbered, tidied, written
 
 #: Bytes of text that a Python worker looks at together, and bytes of contexts that make a shard, about.
 CHUNK, SHARD = 3_000_000, 1_000_000
+#: Bytes of contexts of one anchor from which on its windows are compared as rows of their own.
+CROWD = 4_000_000
+#: Other bytes for bytes, for a second hash.
+OTHER = np.random.default_rng(41).permutation(256).astype(np.uint8)
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -49,14 +53,15 @@ def later(group: np.ndarray, oid: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def intervals(oid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The intervals with those of one document that overlap or touch put together."""
+    if not len(oid):
+        return oid, start, stop
     order = np.lexsort((start, oid))
     oid, start, stop = oid[order], start[order], stop[order]
-    out = []
-    for part in np.split(np.arange(len(oid)), np.flatnonzero(oid[1:] != oid[:-1]) + 1):
-        if len(part):
-            a, b = merged(start[part], stop[part])
-            out.append((np.full(len(a), oid[part[0]]), a, b))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (oid, start, stop)
+    shift = np.cumsum(np.concatenate([[0], oid[1:] != oid[:-1]])) << 40  # documents apart; none has 2**40 bytes
+    reach = np.maximum.accumulate(stop + shift)
+    first = np.flatnonzero(np.concatenate([[True], (oid[1:] != oid[:-1]) | (start[1:] + shift[1:] > reach[:-1])]))
+    last = np.concatenate([first[1:], [len(oid)]]) - 1
+    return oid[first], start[first], reach[last] - shift[last]
 
 
 ANCHORED = pa.schema([("deal", pa.int64()), ("content", pa.int64()), ("oid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -85,38 +90,46 @@ def anchored(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[once])), pa.array(signed(content[once])), pa.array(oid[once]), pa.array(first[once]), pa.array(last[once] + window)], schema=ANCHORED)
                 yield pa.RecordBatch.from_arrays([pa.array(gone[0] * 7 + gone[1]), pa.array(np.zeros(len(gone[0]), np.int64)), *(pa.array(g.astype(np.int64)) for g in gone)], schema=ANCHORED)
 
-    return docs.select("oid", "text").mapInArrow(run, "deal long, content long, oid long, start long, stop long")
+    return docs.select("oid", "text").mapInArrow(tidied(run), "deal long, content long, oid long, start long, stop long")
 
 
 def sorted_out(rows: DataFrame) -> DataFrame:
     """(deal, oid, start, stop, open): stretches to be removed (not open), and runs whose anchor has other contents too (open).
 
     Of runs with the same anchor and content the first stays and the others are to be removed; the first ones of an anchor
-    with several contents are open. Rows are dealt by anchor; a group's copies were put together by chunk before,
-    so a task holds its share of the anchors, a few numbers each.
+    with several contents are open. Spark deals rows by anchor and sorts them, spilling as it must; a task holds one batch
+    and the row before it. A group's copies were put together by chunk before.
     """
+    names = ["deal", "oid", "start", "stop", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), schema=ANCHORED)
-        deal, content, oid, start, stop = (held.column(i).to_numpy() for i in range(5))
-        known = content == 0
-        order = np.lexsort((start, oid, content, deal, known))[: int((~known).sum())]
-        same = np.zeros(len(order), bool)
-        same[1:] = (deal[order[1:]] == deal[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-        again, once = order[same], order[~same]
-        kin = np.zeros(len(once), bool)
-        if len(once) > 1:
-            pair = deal[once[1:]] == deal[once[:-1]]
-            kin[1:] |= pair
-            kin[:-1] |= pair
-        gone = np.concatenate([again, np.flatnonzero(known)])
-        a, b, c = intervals(oid[gone], start[gone], stop[gone])
-        wide = once[kin]
-        names = ["deal", "oid", "start", "stop", "open"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(c), pa.array(np.zeros(len(a), bool))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(deal[wide]), pa.array(oid[wide]), pa.array(start[wide]), pa.array(stop[wide]), pa.array(np.ones(len(wide), bool))], names=names)
-
-    return rows.repartition("deal").mapInArrow(run, "deal long, oid long, start long, stop long, open boolean")
+        before = None  # (deal, content) of the last row
+        held = np.zeros((5, 0), np.int64)  # the last run that was the first of its content: deal, oid, start, stop, and whether it has kin
+        for batch in batches:
+            deal, content, oid, start, stop = (batch.column(i).to_numpy() for i in range(5))
+            known = content == 0
+            gone = [np.flatnonzero(known)]
+            some = np.flatnonzero(~known)
+            if len(some):
+                d, c = deal[some], content[some]
+                same = np.concatenate([[before == (d[0], c[0])], (d[1:] == d[:-1]) & (c[1:] == c[:-1])])
+                before = (d[-1], c[-1])
+                gone.append(some[same])
+                once = some[~same]
+                firsts = np.concatenate([held, np.stack([deal[once], oid[once], start[once], stop[once], np.zeros(len(once), np.int64)])], axis=1)
+                pair = firsts[0, 1:] == firsts[0, :-1]
+                firsts[4, 1:] |= pair
+                firsts[4, :-1] |= pair
+                held, wide = firsts[:, -1:], firsts[:, :-1][:, firsts[4, :-1] == 1]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, wide[:4]), pa.array(np.ones(wide.shape[1], bool))], names=names)
+            at = np.concatenate(gone)
+            a, b, c = intervals(oid[at], start[at], stop[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(c), pa.array(np.zeros(len(a), bool))], names=names)
+        wide = held[:, held[4] == 1]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, wide[:4]), pa.array(np.ones(wide.shape[1], bool))], names=names)
+
+    dealt = rows.repartition("deal").sortWithinPartitions("deal", "content", "oid", "start")
+    return dealt.mapInArrow(tidied(run), "deal long, oid long, start long, stop long, open boolean")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,18 +215,49 @@ def decided(cut: DataFrame, window: int) -> DataFrame:
             yield done()
 
     dealt = cut.select("deal", "oid", "start", "data").repartition("deal").sortWithinPartitions("deal")
-    return dealt.mapInArrow(run, "oid long, start long, stop long")
+    return dealt.mapInArrow(tidied(run), "oid long, start long, stop long")
+
+
+def by_window(cut: DataFrame, window: int) -> DataFrame:
+    """(oid, start, stop) to be removed of contexts of crowded anchors: each window is a row by itself, dealt by its content.
+
+    No task holds such an anchor's contexts, however many differ; windows are the same if 128 bits of their hashes are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for oid, at, data in zip(*(batch.column(i) for i in range(3))):
+                bytes_ = np.frombuffer(data.as_buffer(), np.uint8)
+                start = np.arange(len(bytes_) - window + 1)
+                both = [anchors.Windows(x).at(start, start + window).view(np.int64) for x in (bytes_, OTHER[bytes_])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(np.full(len(start), oid.as_py())), pa.array(start + at.as_py())], names=["w", "w2", "oid", "start"])
+
+    rows = written(cut.select("oid", "start", "data").mapInArrow(tidied(run), "w long, w2 long, oid long, start long"))
+    first = rows.groupBy("w", "w2").agg(F.min(F.struct("oid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later_ = rows.join(first, ["w", "w2"]).filter(F.struct("oid", "start") != F.col("first"))
+    return later_.select("oid", "start", (F.col("start") + window).alias("stop"))
 
 
 def removals(docs: DataFrame, window: int = 100) -> DataFrame:
     """(oid, start, stop): the bytes of ``docs`` (oid, text) that a ``window``-byte string covers which also starts earlier.
 
     Equal windows have equal anchors, so windows are compared within their anchor's group only. Groups in which all
-    runs of windows have one content are settled by its hash; the distinct contents of the others are sorted.
+    runs of windows have one content are settled by its hash; the distinct contents of the others are sorted, but for
+    anchors with more than ``CROWD`` bytes of them.
     """
     out = written(sorted_out(anchored(docs, window)))
-    open_ = written(contexts(docs, out.filter("open").select("deal", "oid", "start", "stop")))
-    return out.filter("not open").select("oid", "start", "stop").union(written(decided(open_, window)))
+    wanted = out.filter("open").select("deal", "oid", "start", "stop")
+    crowds = written(wanted.groupBy("deal").agg(F.sum(F.col("stop") - F.col("start")).alias("bytes")).filter(F.col("bytes") > CROWD).select("deal"))
+    gone = out.filter("not open").select("oid", "start", "stop")
+    if not crowds.isEmpty():
+        crowded = written(contexts(docs, wanted.join(crowds, "deal", "left_semi")))
+        gone = gone.union(written(by_window(crowded, window)))
+        discard(crowded)
+        wanted = wanted.join(crowds, "deal", "left_anti")
+    open_ = written(contexts(docs, wanted))
+    done = written(decided(open_, window))
+    discard(open_, crowds)
+    return gone.union(done)
 
 
 def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -234,7 +278,7 @@ def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
             cols = [pa.array([m[i] for m in made], pa.int64()) for i in range(3)] + [pa.array([m[3] for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def dedup_documents(docs: DataFrame, window: int = 100) -> DataFrame:
