@@ -57,7 +57,9 @@ def test_max_running_balance(spark):
     assert dict(values(windows.max_running_balance(df, "a", "v", ["i"]))) == {1: Decimal(120), 2: Decimal(15), 3: Decimal(0)}
 
 
-def test_hierarchy(spark):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_hierarchy(spark, small, monkeypatch):
+    monkeypatch.setattr(reshape, "SMALL_TREE", small)
     tree = spark.createDataFrame([(10, "earth", None), (20, "alps", 10), (30, "peak", 20), (40, "mars", None), (50, "lost", 99), (60, "ring", 70), (70, "gnir", 60)], "id int, name string, parent_id int")
     flat = reshape.flatten_tree(tree, tree, sep="/")
     assert sorted(values(flat, "id", "level", "path")) == [(10, 0, "earth"), (20, 1, "earth/alps"), (30, 2, "earth/alps/peak"), (40, 0, "mars")]

@@ -68,16 +68,38 @@ def cross_section(df: DataFrame, **levels) -> DataFrame:
     return df.drop(*levels)
 
 
+#: Nodes up to which a tree is walked on the driver.
+SMALL_TREE = 20_000
+
+
+def walked(links: list[tuple[int, int | None, str]], sep: str, limit: int) -> list[tuple]:
+    """(id, name, level, path, ancestors) of the nodes of (id, parent, name) that hang on a root."""
+    below, out = {}, []
+    for row in links:
+        below.setdefault(row[1], []).append(row)
+    front = [(i, name, [i], [name]) for i, _, name in below.get(None, [])]
+    while front:
+        if len(front[0][2]) > limit + 1:
+            raise ValueError(f"the tree has more than {limit} levels")
+        out += [(i, name, len(ids) - 1, sep.join(names), ids) for i, name, ids, names in front]
+        front = [(c, name, [*ids, c], [*names, name]) for i, _, ids, names in front for c, _, name in below.get(i, [])]
+    return out
+
+
 def flatten_tree(edges: DataFrame, nodes: DataFrame, node: str = "id", parent: str = "parent_id", name: str = "name", sep: str = " > ", limit: int = 100) -> DataFrame:
     """(node, name, level, path, ancestors) of every node reachable from a root.
 
     ``edges`` has each node's parent, null for a root. Ancestors are ids, the node itself last, so that a subtree is
     a test of membership and siblings with a common name prefix aren't mixed up. Each round every node's chain takes on the
     chain that its top has by then, so rounds are the logarithm of the depth. Nodes below a cycle or a parent that isn't
-    there reach no root and are left out. More than ``limit`` levels are an error.
+    there reach no root and are left out. More than ``limit`` levels are an error. A tree of at most ``SMALL_TREE`` nodes, which
+    is looked at first, is walked on the driver.
     """
     named = nodes.select(F.col(node).cast("long").alias("id"), F.col(name).alias("name"))
     links = edges.select(F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("up"))
+    few = links.join(named, "id").select("id", "up", "name").limit(SMALL_TREE + 1).collect()
+    if len(few) <= SMALL_TREE:
+        return edges.sparkSession.createDataFrame(walked([tuple(r) for r in few], sep, limit), "id long, name string, level int, path string, ancestors array<long>")
     chains = written(links.join(named, "id").select("id", "up", F.array("id").alias("ids"), F.array("name").alias("names")))
     reach = 1
     while not chains.filter("up is not null").isEmpty():
