@@ -587,6 +587,12 @@ def test_null_ids_and_repeated_rows(name, spark, docs, texts, sf):
         assert all(r[2] is not None and r[2] in range(6) for r in got if r[1])
 
 
+def test_shards_keep_a_callers_columns(spark):
+    df = spark.range(50).select("id", *[F.concat(F.lit(c), "id").alias(c) for c in ("_n", "_first", "_shift", "_part", "_place", "_tie", "v")])
+    got = sharding.shards(df, ["id"], 4)
+    assert got.select(df.columns).exceptAll(df).isEmpty() and got.count() == 50 and got.filter("row != id").isEmpty()
+
+
 def test_toxicity_without_labels(spark, docs, sf):
     none = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
     assert toxicity.drop_toxic(docs, none).count() == docs.count()

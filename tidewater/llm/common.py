@@ -110,16 +110,16 @@ def numbered(df: DataFrame, order: list[str], row: str = "row") -> tuple[DataFra
     is broadcast.
     """
     spark = df.sparkSession
-    part, place, tie = fresh(df, "_part"), fresh(df, "_place"), fresh(df, "_tie")
+    part, place, tie, shift = (fresh(df, c) for c in ("_part", "_place", "_tie", "_shift"))
     ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order, tie)
     kept = written(
         ranged.sortWithinPartitions(*order, tie).drop(tie).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()})
     )
     ends = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = kept.groupBy(part).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-    offsets = sizes.select(part, (F.coalesce(F.sum("_n").over(ends), F.lit(0)) - F.col("_first")).alias("_shift"))
+    offsets = sizes.select(part, (F.coalesce(F.sum("_n").over(ends), F.lit(0)) - F.col("_first")).alias(shift))
     total = kept.count()
-    return kept.join(F.broadcast(offsets), part).withColumn(row, F.col(place) + F.col("_shift")).drop(part, place, "_shift"), total
+    return kept.join(F.broadcast(offsets), part).withColumn(row, F.col(place) + F.col(shift)).drop(part, place, shift), total
 
 
 def running(values: str) -> str:
