@@ -22,8 +22,8 @@ from tidewater.llm.common import tidied
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a Python worker keeps at once; when full, it starts over.
 KEPT = 700_000
-#: Texts whose new pieces are encoded together.
-TOGETHER = 256
+#: Texts whose new pieces are encoded together, and rows that are handed on together.
+TOGETHER, ROWS = 256, 2_048
 
 
 def byte_names() -> dict[str, int]:
@@ -221,7 +221,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
         machine = automaton(path)
         common.KEPT["bpe"] = automaton.cache_clear
         digits = [str(i) for i in range(len(machine.labels))]
-        for batch in batches:
+        for batch in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
             made = []
             texts = [t or "" for t in batch["_text"]]
             for ids in chain.from_iterable(machine.encode_all(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,23 +70,40 @@ def tidy() -> None:
         trim(0)
 
 
-#: What operators keep in a Python worker from task to task, by operator: how to let it go.
+#: What operators keep in a Python worker from task to task, by operator: how to let it go; and how long an idle worker keeps it.
 KEPT: dict[str, Callable[[], None]] = {}
+IDLE_SECONDS = 2.0
+_waiting: list[threading.Timer] = []
+
+
+def release(keeps: str = "") -> None:
+    for operator in [k for k in list(KEPT) if k != keeps]:
+        KEPT.pop(operator, lambda: None)()
+    gc.collect()
+    tidy()
 
 
 def tidied(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
-    """``run``, a task's function of batches, with ``tidy`` at its end.
+    """``run``, a task's function of batches, that leaves little memory in its worker.
 
-    Workers serve any operator's tasks; what others than ``keeps`` have kept in this one goes first.
+    Workers serve any operator's tasks: what others than ``keeps`` have kept in this one goes first, and what ``keeps`` has goes
+    when the worker has had nothing to do for a while.
     """
 
     def tidy_run(batches: Iterator) -> Iterator:
-        for operator in [k for k in KEPT if k != keeps]:
-            KEPT.pop(operator)()
+        while _waiting:
+            _waiting.pop().cancel()
+        if set(KEPT) - {keeps}:
+            release(keeps)
         try:
             yield from run(batches)
         finally:
             tidy()
+            if KEPT:
+                later = threading.Timer(IDLE_SECONDS, release)
+                later.daemon = True
+                _waiting.append(later)
+                later.start()
 
     return tidy_run
 
