@@ -7,10 +7,9 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ from tidewater.llm.common import tidied
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a Python worker keeps at once; when full, it starts over.
 KEPT = 700_000
-#: Texts whose new pieces are encoded together, and rows that are handed on together.
-TOGETHER, ROWS = 256, 2_048
+#: Texts whose new pieces are encoded together.
+TOGETHER = 256
 
 
 def byte_names() -> dict[str, int]:
@@ -217,23 +216,21 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
     out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], "n_tokens long, ids_sha256 string, decoded_sha256 string"])
     names = [f.name for f in source.schema.fields[:-1]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(path)
         common.KEPT["bpe"] = automaton.cache_clear
         digits = [str(i) for i in range(len(machine.labels))]
-        for batch in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
-            made = []
-            texts = [t or "" for t in batch["_text"]]
-            for ids in chain.from_iterable(machine.encode_all(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)):
-                made.append((
+        for part in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
+            made = [
+                (
                     len(ids),
                     hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest(),
                     hashlib.sha256(machine.decode(ids).encode()).hexdigest(),
                     np.array(ids, dtype="<u4").tobytes() if with_ids else None,
-                ))
-            frame = batch[names].copy()
-            for at, name in enumerate(["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids):
-                frame[name] = [m[at] for m in made]
-            yield frame
+                )
+                for ids in machine.encode_all([t or "" for t in part.column(len(names)).to_pylist()])
+            ]
+            facts = [pa.array([m[i] for m in made], kind) for i, kind in enumerate([pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_ids)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *facts], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return source.mapInPandas(tidied(run, "bpe"), out + ", ids binary" * with_ids)
+    return source.mapInArrow(tidied(run, "bpe"), out + ", ids binary" * with_ids)

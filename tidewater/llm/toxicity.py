@@ -20,7 +20,7 @@ MAX_TRAIN = 20_000
 LEAST_DOCS, SURE = 5, 4.0
 THRESHOLD = 0.3
 #: Characters that a Python worker hashes at once.
-CHUNK = 1_500_000
+CHUNK = 400_000
 #: Entries of the sample's matrix that the driver works on at once.
 ENTRIES = 1 << 20
 

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -274,19 +273,20 @@ def read_shards(folder: str, files: DataFrame) -> DataFrame:
     inside = F.coalesce(F.sum("ids").over(upto(Window.partitionBy("part").orderBy("file"))), F.lit(0))
     starts = cut.withColumn("inside", inside).join(F.broadcast(parts), "part").select("file", (F.col("before") + F.col("inside")).alias("ahead"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, ahead in zip(batch["content"], batch["ahead"]):
-                matrix, names, lengths = unpack(bytes(data))
+            for data, ahead in zip(batch.column(0), batch.column(1).to_pylist()):
+                matrix, names, lengths = unpack(data.as_py())
                 stops = np.cumsum(lengths)
                 wide = matrix.ids().astype("<u4")
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip((stops - lengths).tolist(), stops.tolist())]
-                yield pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "start": stops - lengths + ahead, "n_tokens": lengths, "ids_crc32": sums})
+                cols = [pa.array(names, pa.int64()), pa.array(stops - lengths + ahead, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     content = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.twwm").load(folder)
     named = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     placed = named.join(F.broadcast(starts) if files.count() <= 100_000 else starts, "file")
-    return placed.select("content", "ahead").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("content", "ahead").mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
