@@ -19,7 +19,8 @@ from pyspark.sql import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While an intermediate is written: its shuffle files go with it, and batches for Python workers have so many rows at most.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,12 +44,14 @@ def written(df: DataFrame) -> DataFrame:
     The shuffle files that made it aren't needed any more and go at once rather than when the driver collects garbage.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
