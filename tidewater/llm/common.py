@@ -75,7 +75,7 @@ def tidy() -> None:
 
 #: What operators keep in a Python worker from task to task, by operator: how to let it go; and how long an idle worker keeps it.
 KEPT: dict[str, Callable[[], None]] = {}
-IDLE_SECONDS = 2.0
+IDLE_SECONDS = 1.0
 _waiting: list[threading.Timer] = []
 
 
@@ -89,8 +89,8 @@ def release(keeps: str = "") -> None:
 def tidied(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
     """``run``, a task's function of batches, that leaves little memory in its worker.
 
-    Workers serve any operator's tasks: what others than ``keeps`` have kept in this one goes first, and what ``keeps`` has goes
-    when the worker has had nothing to do for a while.
+    Workers serve any operator's tasks: what others than ``keeps`` have kept in this one goes first, and all that is kept, with
+    what the last task held to its end, when the worker has had nothing to do for a while.
     """
 
     def tidy_run(batches: Iterator) -> Iterator:
@@ -102,11 +102,11 @@ def tidied(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[It
             yield from run(batches)
         finally:
             tidy()
-            if KEPT:
-                later = threading.Timer(IDLE_SECONDS, release)
-                later.daemon = True
-                _waiting.append(later)
-                later.start()
+            # The last batches are let go only after this; a worker that stays idle gives them back too.
+            later = threading.Timer(IDLE_SECONDS, release)
+            later.daemon = True
+            _waiting.append(later)
+            later.start()
 
     return tidy_run
 
