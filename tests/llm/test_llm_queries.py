@@ -627,3 +627,25 @@ def test_sketches_bound_the_difference():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common):
             assert jaccard.may_link(len(a), x, len(b), y, 80) and jaccard.link(len(a), a.tobytes(), len(b), b.tobytes(), 80)
+
+
+@pytest.mark.parametrize("hubs", [1, 4])
+def test_sets_meet_few_hubs(spark, hubs, monkeypatch):
+    """Versions of one text that share keys but often don't link: each meets a few hubs, not one for each of its keys, and no link is lost."""
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
+    rng, texts, now = np.random.default_rng(5), {}, [f"w{i}" for i in range(300)]
+    for d in range(80):
+        texts[d] = " ".join(w if rng.random() > 0.008 else f"x{d}_{i}" for i, w in enumerate(now))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sent, meet = [], jaccard.meet
+
+    def counted(pairs, table, test, percent):
+        sent.append((test.__name__, pairs.count()))
+        return meet(pairs, table, test, percent)
+
+    monkeypatch.setattr(jaccard, "meet", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_documents(docs, 4, 95).collect()}
+    want = classes(texts, 4, 95)
+    assert got == want and len({c for _, c in want.values()}) > 5
+    met = [n for name, n in sent if name == "may_link"]
+    assert len(met) == 3 and met[0] <= len(texts) and met[1] <= (hubs - 1) * len(texts)

@@ -23,6 +23,8 @@ SMALL = 500_000
 SPARE = 1.5
 #: Sketches of a side of a cell, about; members that a hub meets in a task; classes of a bucket that are paired directly.
 BLOCK, HOT, FEW = 512, 500, 32
+#: Hubs that a set meets, those it shares most of its keys with; what doesn't link by them meets in cells.
+HUBS = 4
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -394,25 +396,39 @@ def remaining(first: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     return across(cells.join(nodes, "node"), percent)
 
 
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after the links ``found`` (a, b), which join whole classes: only classes are connected."""
+    class_of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
+    of = found.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
+    upper = components(of.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
+    old = labels.select("node", F.col("component").alias("class")).join(upper.select(F.col("node").alias("class"), "component"), "class", "left")
+    new = upper.join(labels, "node", "left_anti").select("node", "component")
+    return written(old.select("node", F.coalesce("component", "class").alias("component")).union(new))
+
+
 def links(docs_texts: DataFrame, made: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(node, n, payload) with the sketches of all sets, and (node, component) of those that link, None if none does.
 
-    All pairs that share a bucket are tested, but those that links join already. First each set meets the hub
-    it shares most of its keys with, then all its hubs: of each of its buckets the least node and another; then
-    what is left meets in cells.
+    All pairs that share a bucket are tested, but those that links join already. Each bucket has two hubs: its least node
+    and another. First each set meets the hub it shares most of its keys with, then the next ``HUBS`` - 1 that are not of
+    its class yet; then what is left of all pairs meets in cells.
     """
     nodes = written(made.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("payload")))
     first = written(buckets(made))
     discard(made)
     by = F.min(F.struct(F.xxhash64("node", "key"), "node"))
     hubs = first.groupBy("key").agg(F.max("held").alias("held"), F.min("node").alias("low"), by.getField("node").alias("other"), F.count("*").alias("n")).filter("n > 1")
+    hubs = written(hubs)
     met = with_key(first, hubs).select(F.col("node").alias("a"), F.explode(F.array("low", "other")).alias("b"), F.ceil(F.col("held") / HOT).alias("cells"))
     stars = met.filter("a != b").groupBy("a", "b").agg(F.count("*").alias("w"), F.max("cells").alias("cells"))
-    stars = written(stars.withColumn("cell", F.pmod(F.xxhash64("a"), "cells")).drop("cells"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), F.desc("b")))
+    stars = stars.withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    stars = written(stars.select("a", "b", F.pmod(F.xxhash64("a"), "cells").alias("cell"), "rank"))
     if stars.isEmpty():
-        discard(first, stars)
+        discard(first, hubs, stars)
         return nodes, None
-    some = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    # All that share a bucket: whoever meets no hub is both hubs of its own ones.
+    some = stars.select(F.col("a").alias("node")).union(hubs.select("low")).distinct()
     sets = written(shingle_sets(docs_texts.join(side(some), "node", "left_semi"), k).dropDuplicates(["node"]))
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -421,22 +437,20 @@ def links(docs_texts: DataFrame, made: DataFrame, k: int, percent: int) -> tuple
         discard(near)
         return found
 
-    best = stars.groupBy("a").agg(F.max(F.struct("w", "b", "cell")).alias("s")).select("a", "s.b", "s.cell")
-    found = tested(best)
-    labels = written(components(found))
+    labels = written(components(tested(stars.filter("rank = 1").select("a", "b", "cell"))))
     class_of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
     apart = ~F.coalesce(F.col("class_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("class_b"), F.col("b")))
-    rest = stars.join(best, ["a", "b"], "left_anti").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").filter(apart)
-    more = tested(rest.select("a", "b", "cell"))
-    discard(stars)
+    rest = stars.filter("rank > 1").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").filter(apart)
+    rest = written(rest.select("a", "b", "cell"))
+    more = tested(rest)
+    discard(hubs, stars, rest)
     if not more.isEmpty():
-        old, found = found, written(found.union(more))
-        discard(old, labels)
-        labels = written(components(found))
+        labels, old = merged(labels, more), labels
+        discard(old)
     left = remaining(first, labels, nodes, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = tested(written(left.withColumn("cell", F.lit(0).cast("long"))))
     if not last.isEmpty():
-        labels = written(components(found.union(last)))
+        labels = merged(labels, last)
     discard(sets, first)
     return nodes, labels
 
