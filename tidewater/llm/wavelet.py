@@ -7,7 +7,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -154,6 +154,17 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 
 
+class Pieces(dict):
+    """Ids by piece, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
+
+
 class Encoder:
     """A vocabulary that drops white space, applied to pieces between spaces and newlines, whose ids are kept.
 
@@ -171,7 +182,7 @@ class Encoder:
         self.tool.no_padding()
         self.model = self.tool.model
         self.alphabet = str.maketrans({b: c for c, b in byte_names().items()})
-        self.kept: dict[str, bytes] = {}
+        self.kept = Pieces(self.piece)
         self.known: dict[str, bytes] = {}
 
     def word(self, text: str) -> bytes:
@@ -197,10 +208,7 @@ class Encoder:
             self.kept.clear()
         if len(self.known) > KEPT:
             self.known.clear()
-        kept, parts = self.kept, text.replace("\n", " ").split(" ")
-        for w in set(parts).difference(kept):
-            kept[w] = self.piece(w)
-        return b"".join(map(kept.__getitem__, parts))
+        return b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
