@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import time
@@ -439,6 +440,38 @@ def test_wavelet(docs, texts):
     assert wavelet.encode_documents(nulled(docs), path).count() == 18
 
 
+def test_wavelet_encoder(monkeypatch):
+    """Odd texts get the library's ids, whatever is kept and in whatever groups texts are encoded; new words go to it many at once."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    tool, rng = Tokenizer.from_file(path), random.Random(5)
+    parts = ["abc", "Zürich", "don't", "WE'LL", "e\u0301", "\u0301", "İ", "ΣΑΣ", "ß", "ª", "²", "7", "٣", "中文", "😀", ".", "***", "'", "_", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext", "\u0338", "<",
+             " ", "  ", "\n", "\t", "\r\n", "\x00", "\u00a0", "\u2028", "ſ", "K", "ŉ", "x", "S"]
+    texts = ["", *parts, *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(20_000))]
+    want = [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept, chars in ((400_000, 4_000_000), (50, 40), (0, 1000)):
+        monkeypatch.setattr(wavelet, "KEPT", kept)
+        monkeypatch.setattr(wavelet, "CHARS", chars)
+        assert [x.tolist() for x in wavelet.Encoder(path).encode(texts)] == want
+    monkeypatch.undo()
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.inner, name)
+
+    encoder = wavelet.Encoder(path)
+    encoder.tool, encoder.merges = Counted(encoder.tool), Counted(encoder.merges)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(12)) for _ in range(3_000)]
+    pairs = [f"{a} {b.title()}." for a, b in zip(words, words[::-1])]
+    assert [x.tolist() for x in encoder.encode(pairs)] == [tool.encode(t, add_special_tokens=False).ids for t in pairs]
+    assert encoder.tool.calls == 1 and encoder.merges.calls == 1
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for n, top in [(1, 1), (700, 5), (3000, 70_000)]:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -26,8 +28,10 @@ MAGIC = b"TWWM1\n"
 STRIDE = 512
 #: Ids after which a shard file ends with the document at hand.
 SHARD_IDS = 4_000_000
-#: Pieces of text whose ids a Python worker keeps at once; when full, it starts over.
-KEPT = 500_000
+#: Pieces of text whose ids a Python worker keeps before those that weren't used since the last time go; it holds about twice as many at most.
+KEPT = 400_000
+#: Characters of the texts that are encoded at once.
+CHARS = 4_000_000
 
 
 class WaveletMatrix:
@@ -54,7 +58,7 @@ class WaveletMatrix:
         for p in reversed(range(width)):
             bit = (x >> p & 1).astype(bool)
             planes.append(np.packbits(np.pad(bit, (0, -len(bit) % STRIDE)), bitorder="little"))
-            x = np.concatenate([x[~bit], x[bit]])
+            x = np.concatenate([x[np.flatnonzero(~bit)], x[np.flatnonzero(bit)]])  # by places: masks of random bits are slow
         return cls(len(ids), width, planes)
 
     def ids(self) -> np.ndarray:
@@ -63,8 +67,8 @@ class WaveletMatrix:
         for p, plane in enumerate(reversed(self.planes)):
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above, zeros = np.empty_like(out), self.zeros[self.width - 1 - p]
-            above[~bit] = out[:zeros]
-            above[bit] = out[zeros:] | out.dtype.type(1 << p)
+            above[np.flatnonzero(~bit)] = out[:zeros]
+            above[np.flatnonzero(bit)] = out[zeros:] | out.dtype.type(1 << p)
             out = above
         return out
 
@@ -150,65 +154,99 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return matrix, [int(i) if k else None for i, k in zip(ids, known)], lengths
 
 
-#: Letters before a run of ASCII symbols other than the apostrophe, which may begin a suffix.
-ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
-
-
-class Pieces(dict):
-    """Ids by piece, made when they are first asked for."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.make(piece)
-        return ids
+#: An ASCII symbol after a letter below U+0130; the apostrophe may begin a suffix.
+ENDED = re.compile(r"[!-&(-/:-@\[-^`{-~](?<=[^\W\d_\u0130-\U0010ffff].)")
+#: A character that isn't sure to be in normal form, nor to lower to one letter.
+UNSURE = re.compile("[^\0-\u012f]")
 
 
 class Encoder:
     """A vocabulary that drops white space, applied to pieces between spaces and newlines, whose ids are kept.
 
     White space only separates, so pieces can be encoded apart; letters and a run of symbols after them are two
-    pre-split words. A word of letters below U+0130 is in normal form and lowers letter by letter, so it goes to the
-    merges directly, written in the vocabulary's byte alphabet; all else goes through the whole tokenizer. Ids are
-    kept as little-endian unsigned 32-bit integers.
+    pre-split words, so they are two pieces, unless the text may hold a special token. A word of letters below U+0130
+    is in normal form and lowers letter by letter. Such words, written in the vocabulary's byte alphabet, go many at once
+    to the merges; each ends where an id ends a word. All else goes through the whole tokenizer. Ids are kept as
+    little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
-        self.model = self.tool.model
-        self.alphabet = str.maketrans({b: c for c, b in byte_names().items()})
-        self.kept = Pieces(self.piece)
-        self.known: dict[str, bytes] = {}
-
-    def word(self, text: str) -> bytes:
-        low = text.lower()
-        ids = self.known.get(low)
-        if ids is None:
-            named = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.known[low] = np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
-        return ids
-
-    def piece(self, text: str) -> bytes:
-        if text.isalpha() and max(text) < "\u0130":
-            return self.word(text)
-        if (m := ENDED.fullmatch(text)) and m[1].isalpha() and max(m[1]) < "\u0130":
-            tail = self.known.get(m[2])
-            if tail is None:
-                tail = self.known[m[2]] = np.array(self.tool.encode(m[2], add_special_tokens=False).ids, dtype="<u4").tobytes()
-            return self.word(m[1]) + tail
-        return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
+        self.merges = Tokenizer(self.tool.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        names = self.tool.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith(self.tool.model.end_of_word_suffix)]] = True
+        self.alphabet = str.maketrans({b: c for c, b in byte_names().items() if b != 32})
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word of letters below U+0130."""
+        named = " ".join(words).lower()
+        if not named.isascii():
+            named = named.encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.merges.encode_batch_fast([named], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops, content = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+        if len(stops) != len(words):
+            raise ValueError("the vocabulary has words that don't end with its suffix")
+        return [content[a:b] for a, b in zip([0, *stops], stops)]
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; those that aren't kept are encoded, words together."""
+        found = list(map(self.kept.get, pieces))
+        plain = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[i]
+            ids = self.older.get(piece)
+            if ids is None and piece.isalpha() and (piece.isascii() or not UNSURE.search(piece)):
+                plain.append(i)
+                continue
+            if ids is None:
+                ids = np.array(self.tool.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            found[i] = self.kept[piece] = ids
+        for i, ids in zip(plain, self.words([pieces[i] for i in plain]) if plain else []):
+            found[i] = self.kept[pieces[i]] = ids
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        if len(self.known) > KEPT:
-            self.known.clear()
-        return b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
+            self.kept, self.older = {}, self.kept
+        return found
+
+    def cut(self, text: str) -> str:
+        """The text with a space between all pieces."""
+        if "<|" not in text:
+            text = ENDED.sub(r" \g<0>", text.lower() if text.isascii() or not UNSURE.search(text) else text)
+        return text.replace("\n", " ")
+
+    def group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text: each distinct piece is looked up once, and its ids are laid wherever it is."""
+        pieces = pc.split_pattern(pa.array([self.cut(t) for t in texts], pa.string()), " ")
+        coded = pieces.values.dictionary_encode()
+        found = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place, starts = coded.indices.to_numpy(), np.cumsum(sizes) - sizes
+        sizes = sizes[place]
+        stops = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(starts[place] - (stops - sizes), sizes) + np.arange(stops[-1])]
+        ends = stops[pieces.offsets.to_numpy()[1:] - 1].tolist()
+        return (ids[a:b] for a, b in zip([0, *ends], ends))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, by groups of texts of ``CHARS`` characters or one more text."""
+        waiting, held = [], 0
+        for text in texts:
+            waiting.append(text)
+            held += len(text)
+            if held >= CHARS:
+                yield from self.group(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield from self.group(waiting)
 
 
 @lru_cache(maxsize=2)
@@ -255,8 +293,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.frombuffer(tool.encode(text.as_py()), "<u4"), np.uint32(end_id))
+            for doc_id, found in zip(batch.column(0).to_pylist(), tool.encode(text.as_py() for text in batch.column(1))):
+                ids = np.append(found, np.uint32(end_id))
                 blocks.append(ids)
                 names.append(doc_id)
                 lengths.append(len(ids))
