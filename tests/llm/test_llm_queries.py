@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, induced, jaccard, minhash, mixing, queries, secrets, sharding, suffix_dedup, toxicity, wavelet
+from tidewater.llm import ann, bpe, common, graph, induced, jaccard, minhash, mixing, queries, secrets, sharding, suffix_dedup, toxicity, wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t", "one", "One two three", "one two three", "é ü ñ", "a" * 350, "ab " * 200, "x\t y  z", "日本語 テキスト", "<|endoftext|> and <|startoftext|>", "don't we'll", "word " * 3000]
@@ -530,6 +530,52 @@ def test_one_stays_without_ids(docs, texts):
         assert kept.select("text").distinct().count() == kept.count() == len(count) > 50
 
 
+@pytest.mark.parametrize("at_once", [0, 40, graph.AT_ONCE])
+def test_components(spark, at_once, monkeypatch):
+    """Paths, stars and chance edges, negative and large nodes; the same whether joins or one task connect them, or first the ones, then the other."""
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(-20, 20)] + [(900, i) for i in range(901, 930)] + [(2**62 + rng.randrange(60), 2**62 + rng.randrange(60)) for _ in range(40)] + [(7, 7), (5, 4)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((x, find(x)) for x in list(root))
+    assert graph.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
+def test_few_edges_are_few_jobs(spark):
+    """What the driver keeps grows with the queries that it plans: few edges don't take a row of joins."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        assert {r.component for r in graph.components(edges).collect()} == {0}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
+
+
+def test_driver_gives_back(spark, monkeypatch):
+    """What nothing holds in the driver's JVM any more doesn't stay there while intermediates are written."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    monkeypatch.setattr(common, "_relieved", [0.0])
+    spark._jvm.System.gc()
+    before = used()
+    while used() < before + 50_000_000:
+        spark._jvm.java.lang.String("x" * 1_000_000)
+    common.written(spark.range(3))
+    assert used() < before + 50_000_000
+
+
 def test_bpe(docs, texts):
     from tokenizers import Tokenizer
 

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,10 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Seconds between two collections of the driver's garbage, at least, and as a multiple of what one takes.
+RELIEVED = {"seconds": 5.0, "times": 20.0}
+_relieved = [0.0]
+
+
+def relieve(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage and give the heap that it doesn't need back to the system.
+
+    An operator of many small queries leaves their plans, tasks and broadcasts behind, and the JVM rather takes all the heap that it may
+    than to collect them. It doesn't while the last collection is recent, so a large heap isn't collected all the time.
+    """
+    if time.monotonic() >= _relieved[0]:
+        began = time.monotonic()
+        spark._jvm.System.gc()
+        took = time.monotonic() - began
+        _relieved[0] = began + took + max(RELIEVED["seconds"], RELIEVED["times"] * took)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read back: lineage ends here.
 
     The shuffle files that made it aren't needed any more and go at once rather than when the driver collects garbage.
+    What else it left in the driver goes from time to time (see ``relieve``).
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     before = {k: spark.conf.get(k) for k in WRITING}
@@ -52,6 +72,7 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
